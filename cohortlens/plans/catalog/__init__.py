@@ -1,3 +1,3 @@
 """Registered queries, one module per operator family."""
 
-from cohortlens.plans.catalog import core, reshape  # noqa: F401
+from cohortlens.plans.catalog import core, quality, reshape  # noqa: F401

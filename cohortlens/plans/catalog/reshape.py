@@ -180,8 +180,7 @@ def name_parse(spark, sf):
     "textbook_long",
     sql=fx.with_ctes(fx.customer_wide_sql(["Textbook"]))
     + """, tb AS (SELECT c_custkey, COLUMNS('^Grade_') FROM customer_wide),
-unp AS (SELECT c_custkey, variable, value FROM (
-    UNPIVOT INCLUDE NULLS tb ON COLUMNS('^Grade_') INTO NAME variable VALUE value))
+unp AS (SELECT c_custkey, variable, value FROM tb UNPIVOT INCLUDE NULLS (value FOR variable IN (COLUMNS('^Grade_'))))
 SELECT c_custkey,
        CAST(regexp_extract(variable, '^Grade_(\\d+)_(.+)_Textbook$', 1) AS INTEGER) AS Grade_Level,
        replace(regexp_extract(variable, '^Grade_(\\d+)_(.+)_Textbook$', 2), '_', ' ') AS Subject,

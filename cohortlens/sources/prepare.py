@@ -53,3 +53,19 @@ def normalise_ids(df: DataFrame, id_col: str, order: Sequence[str], out: str | N
     pos = row_positions(df, order, "_pos")
     parsed = F.col(id_col).cast("string").try_cast("bigint")
     return pos.withColumn(out, F.coalesce(parsed, F.col("_pos"))).drop("_pos")
+
+
+def running_sums(df: DataFrame, order: Sequence, cols: Sequence[str], prefix: str = "cum_", inclusive: bool = True) -> DataFrame:
+    """Global running sums of ``cols`` in ``order`` (Column sort orders allowed)
+    without a single-partition window: range-partition by the order, running
+    sums inside each partition, plus the totals of all earlier partitions (a
+    table with one row per partition, broadcast)."""
+    s = df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
+    frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
+    w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(*frame)
+    local = s.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_loc_{c}") for c in cols])
+    totals = s.groupBy("_pid").agg(*[F.sum(c).alias(f"_tot_{c}") for c in cols])
+    prev = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_tot_{c}").over(prev), F.lit(0)).alias(f"_off_{c}") for c in cols])
+    j = local.join(F.broadcast(offsets), "_pid")
+    return j.select(*df.columns, *[(F.col(f"_off_{c}") + F.col(f"_loc_{c}")).alias(f"{prefix}{c}") for c in cols])
