@@ -78,3 +78,28 @@ def quantiles(
     t = t.withColumn("_q", F.col("_vlo") + (F.col("_h") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo")))
     g = t.groupBy(*groups) if groups else t.groupBy()
     return g.agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
+
+
+def order_statistics(
+    df: DataFrame,
+    value: str,
+    ranks: dict,
+    groups: Sequence[str] = (),
+) -> DataFrame:
+    """Exact k-th smallest values: ``ranks`` maps an output name to a Column
+    expression of ``_n`` (the group's count) giving a 0-based rank.  Same
+    distributed machinery as ``quantiles``; one row per group."""
+    groups = list(groups)
+    d = df.select(*groups, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    for gcol in groups:
+        d = d.where(F.col(gcol).isNotNull())
+    pos = row_positions(d, [*groups, "_v"], "_pos")
+    sizes = pos.groupBy(*groups).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    tgt = sizes.select(
+        *groups,
+        "_start",
+        F.explode(F.array(*[F.struct(F.lit(k).alias("_name"), e.cast("long").alias("_r")) for k, e in ranks.items()])).alias("_t"),
+    ).select(*groups, (F.col("_start") + F.col("_t._r")).alias("_pos"), F.col("_t._name").alias("_name"))
+    picked = pos.join(broadcast_if_small(tgt), [*groups, "_pos"])
+    g = picked.groupBy(*groups) if groups else picked.groupBy()
+    return g.agg(*[F.max(F.when(F.col("_name") == k, F.col("_v"))).alias(k) for k in ranks])
