@@ -1,3 +1,3 @@
 """Registered queries, one module per operator family."""
 
-from cohortlens.plans.catalog import core, encode, quality, reshape  # noqa: F401
+from cohortlens.plans.catalog import core, encode, evaluate, quality, reshape  # noqa: F401
