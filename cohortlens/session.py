@@ -54,3 +54,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def materialize(df):
+    """Cut the lineage of a frame reused by iterative work (ML fits, many
+    branches): a reliable ``checkpoint`` into ``spark.checkpoint.dir``, which
+    survives lost executors (unlike a local checkpoint or a cache)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
