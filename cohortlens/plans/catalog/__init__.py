@@ -1,3 +1,3 @@
 """Registered queries, one module per operator family."""
 
-from cohortlens.plans.catalog import core, encode, evaluate, models, quality, reshape, scoring  # noqa: F401
+from cohortlens.plans.catalog import core, encode, evaluate, export, models, quality, reshape, scoring  # noqa: F401
