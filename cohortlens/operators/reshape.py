@@ -64,13 +64,14 @@ def wide_to_long(
     (unparsable -> null), nulls dropped, and values kept inside ``value_range``
     (``None`` keeps all, as in the second ETL variant)."""
     cols = metric_columns(df.columns, metrics)
+    types = dict(df.dtypes)
     packed = [
         F.struct(
             F.lit(g).cast("int").alias("Grade_Level"),
             F.lit(s).alias("Subject"),
             F.lit(m).alias("Metric"),
             F.col(f"`{c}`").cast("string").try_cast("double").alias("Value")
-            if dict(df.dtypes)[c] == "string"
+            if types[c] == "string"
             else F.col(f"`{c}`").cast("double").alias("Value"),
         ).alias(c)
         for c, g, s, m in cols

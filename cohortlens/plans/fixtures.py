@@ -70,7 +70,9 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
     )
     o = load(spark, sf, "orders").select("o_orderkey", "o_custkey")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
-    return j.groupBy(
+    # the textbook flag is aggregated as an int (max of 0/1) so the aggregate
+    # stays a hash aggregate; a string max would force a sort-based one
+    g = j.groupBy(
         F.col("o_custkey").alias("cid"),
         F.month("l_shipdate").alias("grade"),
         F.concat_ws("_", "l_returnflag", "l_linestatus").alias("subject"),
@@ -79,8 +81,9 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
         F.avg(100 * (1 - F.col("l_discount"))).alias("Attendance"),
         F.avg(100 * (1 - F.col("l_tax"))).alias("Homework_Completion"),
         F.avg(F.col("l_linenumber") * 14).alias("Class_Participation"),
-        F.max(F.when(F.col("l_discount") >= 0.05, "Yes").otherwise("No")).alias("Textbook"),
+        F.max(F.when(F.col("l_discount") >= 0.05, 1).otherwise(0)).alias("_tb"),
     )
+    return g.withColumn("Textbook", F.when(F.col("_tb") == 1, "Yes").otherwise("No")).drop("_tb")
 
 
 CELLS_SQL = """cells AS (
@@ -100,9 +103,14 @@ def customer_wide(spark: SparkSession, sf: str, metrics=CELL_METRICS) -> DataFra
     where the customer has no line in that cell; all-null without orders)."""
     cl = cells(spark, sf).withColumn("cell", F.concat(F.lit("Grade_"), F.col("grade"), F.lit("_"), F.col("subject")))
     cell_vals = [f"Grade_{m}_{s}" for m in MONTHS for s in FLAG_STATUS]
-    wide = cl.groupBy("cid").pivot("cell", cell_vals).agg(*[F.first(k).alias(k) for k in metrics])
+    # pivot numbers only (textbook as a 0/1 int) so the pivot aggregate is a hash aggregate
+    aggs = [F.first(F.col(k) if k != "Textbook" else (F.col(k) == "Yes").cast("int")).alias(k) for k in metrics]
+    wide = cl.groupBy("cid").pivot("cell", cell_vals).agg(*aggs)
     if len(metrics) == 1:  # Spark omits the alias suffix for a single aggregate
         wide = wide.select("cid", *[F.col(v).alias(f"{v}_{metrics[0]}") for v in cell_vals])
+    if "Textbook" in metrics:
+        tb = [f"{v}_Textbook" for v in cell_vals]
+        wide = wide.withColumns({c: F.when(F.col(c) == 1, "Yes").when(F.col(c) == 0, "No") for c in tb})
     c = load(spark, sf, "customer")
     out = c.join(wide, c.c_custkey == wide.cid, "left").drop("cid")
     return out.select(*c.columns, *[f"{v}_{k}" for v in cell_vals for k in metrics])
