@@ -1,10 +1,12 @@
 """Row-wise (horizontal) aggregates over a list of columns.
 
 Nulls are skipped (pandas ``mean(axis=1)`` semantics); an all-null row gives
-null.  The sums are built as *balanced* binary trees of ``+``: depth log2(n),
-so hundreds of columns neither overflow the JVM stack (a left-deep
-``c1 + c2 + ...`` does) nor leave whole-stage codegen (higher-order array
-functions such as ``aggregate`` are interpreted per row).
+null.  Each column is referenced exactly once, inside one ``array``, which is
+folded with ``aggregate`` left to right (the order pandas / SQL use).  Two
+properties matter at width: a left-deep ``c1 + c2 + ...`` over hundreds of
+columns overflows the JVM stack, and expressions that mention a column several
+times (sum and count, mean inside a deviation) multiply when Catalyst inlines
+nested row statistics -- the plan size must stay linear in the columns.
 """
 
 from __future__ import annotations
@@ -15,49 +17,47 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _col(c: str | Column) -> Column:
-    return (F.col(f"`{c}`") if isinstance(c, str) else c).cast("double")
-
-
-def _tree_sum(terms: list[Column]) -> Column:
-    while len(terms) > 1:
-        nxt = [terms[i] + terms[i + 1] for i in range(0, len(terms) - 1, 2)]
-        if len(terms) % 2:
-            nxt.append(terms[-1])
-        terms = nxt
-    return terms[0]
+def _arr(cols: Sequence[str | Column]) -> Column:
+    return F.array_compact(
+        F.array(*[(F.col(f"`{c}`") if isinstance(c, str) else c).cast("double") for c in cols])
+    )
 
 
 def row_count(cols: Sequence[str | Column]) -> Column:
     """Number of non-null values in the row."""
     if not cols:
         return F.lit(0)
-    return _tree_sum([_col(c).isNotNull().cast("int") for c in cols])
+    return F.size(_arr(cols))
 
 
 def row_sum(cols: Sequence[str | Column], nulls_as_zero: bool = True) -> Column:
     """Sum of the non-null values; with ``nulls_as_zero`` an all-null row is 0."""
     if not cols:
         return F.lit(0.0) if nulls_as_zero else F.lit(None).cast("double")
-    total = _tree_sum([F.coalesce(_col(c), F.lit(0.0)) for c in cols])
-    if nulls_as_zero:
-        return total
-    return F.when(row_count(cols) > 0, total)
+    arr = _arr(cols)
+    total = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
+    return total if nulls_as_zero else F.when(F.size(arr) > 0, total)
 
 
 def row_mean(cols: Sequence[str | Column]) -> Column:
     """Mean of the non-null values; null when every value is null."""
     if not cols:
         return F.lit(None).cast("double")
-    n = row_count(cols)
-    return F.when(n > 0, row_sum(cols) / n)
+    return F.aggregate(
+        _arr(cols),
+        F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
+        lambda acc, x: F.struct((acc["s"] + x).alias("s"), (acc["n"] + 1).alias("n")),
+        lambda acc: F.when(acc["n"] > 0, acc["s"] / acc["n"]),
+    )
 
 
 def row_std(cols: Sequence[str | Column]) -> Column:
-    """Sample standard deviation (ddof=1) of the non-null values; null when n < 2."""
+    """Sample standard deviation (ddof=1) of the non-null values; null when n < 2
+    (two passes over the row's array: mean, then squared deviations)."""
     if not cols:
         return F.lit(None).cast("double")
-    n = row_count(cols)
-    mean = row_sum(cols) / n
-    ss = _tree_sum([F.coalesce((_col(c) - mean) * (_col(c) - mean), F.lit(0.0)) for c in cols])
+    arr = _arr(cols)
+    n = F.size(arr)
+    mean = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x) / n
+    ss = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
     return F.when(n > 1, F.sqrt(ss / (n - 1)))

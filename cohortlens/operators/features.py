@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cohortlens import config
 from cohortlens.functions.rowwise import row_mean, row_std, row_sum
 from cohortlens.operators.reshape import parse_metric_name
+from cohortlens.session import wide_plan_guard
 
 TEXTBOOK_STAGE_NAMES = {
     "Lower_Primary": "Textbook_Access_1_4",
@@ -56,6 +57,7 @@ def stage_averages(
     drop_source: bool = False,
 ) -> DataFrame:
     """H1: ``Avg_<metric>_<stage>`` = null-skipping row mean of the stage's columns."""
+    wide_plan_guard(df.sparkSession)
     new: dict[str, Column] = {}
     used: set[str] = set()
     for keyword, short in metrics.items():

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.sources.tables import load
 from cohortlens.operators.sizing import broadcast_if_small
+from cohortlens.session import wide_plan_guard
 
 # FIXED VALUES of the fixture tables (checked against the data): return flags,
 # line statuses, months and event types.
@@ -101,6 +102,7 @@ CELLS_SQL = """cells AS (
 def customer_wide(spark: SparkSession, sf: str, metrics=CELL_METRICS) -> DataFrame:
     """One row per customer with ``Grade_<m>_<subject>_<Metric>`` columns (null
     where the customer has no line in that cell; all-null without orders)."""
+    wide_plan_guard(spark)
     cl = cells(spark, sf).withColumn("cell", F.concat(F.lit("Grade_"), F.col("grade"), F.lit("_"), F.col("subject")))
     cell_vals = [f"Grade_{m}_{s}" for m in MONTHS for s in FLAG_STATUS]
     # pivot numbers only (textbook as a 0/1 int) so the pivot aggregate is a hash aggregate

@@ -21,6 +21,7 @@ _LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "16g",
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
@@ -62,3 +63,13 @@ def materialize(df):
     survives lost executors (unlike a local checkpoint or a cache)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def wide_plan_guard(spark: SparkSession) -> None:
+    """Plans over hundreds of derived columns make Catalyst's constraint
+    propagation (``InferFiltersFromConstraints``) grow combinatorially -- the
+    optimizer, not the job, then takes minutes.  The wide-table builders turn
+    it off for the session (a runtime SQL setting; filters the queries state
+    explicitly are still pushed down)."""
+    if spark.conf.get("spark.sql.constraintPropagation.enabled", "true") != "false":
+        spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
