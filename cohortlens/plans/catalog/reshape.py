@@ -296,7 +296,7 @@ def subject_category(spark, sf):
 FROM behaviour_long WHERE Metric IN ('Attendance', 'Test_Score') GROUP BY c_custkey, Grade_Level, Subject""",
 )
 def long_to_wide(spark, sf):
-    long = behaviour_long(spark, sf).where(F.col("Metric").isin("Attendance", "Test_Score"))
+    long = behaviour_long(spark, sf, ["Test_Score", "Attendance"]).where(F.col("Metric").isin("Attendance", "Test_Score"))
     return finish(rs.long_to_wide(long, ["c_custkey", "Grade_Level", "Subject"], "Metric", ["Attendance", "Test_Score"], "Value"))
 
 
