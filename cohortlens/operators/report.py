@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortlens import config
 from cohortlens.functions.categorize import level_band
+from cohortlens.operators.quantiles import quantiles
 
 
 def _c(c: Column | str) -> Column:
@@ -75,12 +76,13 @@ def value_counts(df: DataFrame, key: str, normalize: bool = False) -> DataFrame:
 
 def kpi_overview(df: DataFrame, value: str, pass_mark: float = config.PASS_MARK, risk_mark: float = config.RISK_MARK) -> DataFrame:
     """One-row KPIs.  Pass / risk rates have every row in the denominator
-    (a null value is neither passing nor at risk)."""
+    (a null value is neither passing nor at risk).  The median is the exact
+    distributed quantile (no buffer of all distinct values in one task)."""
     v = F.col(value)
-    return df.agg(
+    med = quantiles(df, value, [0.5], names=["median"])
+    agg = df.agg(
         F.count(F.lit(1)).alias("total"),
         F.avg(v).alias("mean"),
-        F.median(v).alias("median"),
         F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
@@ -88,6 +90,8 @@ def kpi_overview(df: DataFrame, value: str, pass_mark: float = config.PASS_MARK,
         F.count_if(v < risk_mark).alias("risk_count"),
         (100 * F.avg(F.coalesce(v < risk_mark, F.lit(False)).cast("int"))).alias("risk_rate"),
     )
+    j = agg.crossJoin(med)
+    return j.select("total", "mean", "median", "std", "min", "max", "pass_rate", "risk_count", "risk_rate")
 
 
 def band_report(df: DataFrame, value: str, extra_means: Sequence[str] = (), bands=config.LEVEL_BANDS) -> DataFrame:
@@ -167,18 +171,19 @@ def track_report(df: DataFrame, tracks: dict[str, Sequence[str]]) -> DataFrame:
 
 
 def quick_summary(df: DataFrame, value: str) -> DataFrame:
-    """KPIs and band counts/percentages in one row."""
+    """KPIs and band counts/percentages in one row (exact distributed median)."""
     v = F.col(value)
+    med = quantiles(df, value, [0.5], names=["median"])
     agg = df.agg(
         F.count(F.lit(1)).alias("total"),
         F.avg(v).alias("mean"),
-        F.median(v).alias("median"),
         F.count_if(v < 50).alias("n_low"),
         F.count_if((v >= 50) & (v < 70)).alias("n_medium"),
         F.count_if(v >= 70).alias("n_high"),
     )
+    agg = agg.crossJoin(med)
     return agg.select(
-        "*",
+        "total", "mean", "median", "n_low", "n_medium", "n_high",
         *[(100 * F.col(c) / F.col("total")).alias(f"pct_{c[2:]}") for c in ("n_low", "n_medium", "n_high")],
     )
 
