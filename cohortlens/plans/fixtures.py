@@ -99,11 +99,12 @@ CELLS_SQL = """cells AS (
   GROUP BY 1, 2, 3)"""
 
 
-def customer_wide(spark: SparkSession, sf: str, metrics=CELL_METRICS) -> DataFrame:
+def customer_wide(spark: SparkSession, sf: str, metrics=CELL_METRICS, cells_df: DataFrame | None = None) -> DataFrame:
     """One row per customer with ``Grade_<m>_<subject>_<Metric>`` columns (null
-    where the customer has no line in that cell; all-null without orders)."""
+    where the customer has no line in that cell; all-null without orders).
+    ``cells_df`` lets several outputs share one stored cell table."""
     wide_plan_guard(spark)
-    cl = cells(spark, sf).withColumn("cell", F.concat(F.lit("Grade_"), F.col("grade"), F.lit("_"), F.col("subject")))
+    cl = (cells_df if cells_df is not None else cells(spark, sf)).withColumn("cell", F.concat(F.lit("Grade_"), F.col("grade"), F.lit("_"), F.col("subject")))
     cell_vals = [f"Grade_{m}_{s}" for m in MONTHS for s in FLAG_STATUS]
     # pivot numbers only (textbook as a 0/1 int) so the pivot aggregate is a hash aggregate
     aggs = [F.first(F.col(k) if k != "Textbook" else (F.col(k) == "Yes").cast("int")).alias(k) for k in metrics]

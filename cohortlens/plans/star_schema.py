@@ -35,23 +35,26 @@ def grade_dim(spark: SparkSession) -> DataFrame:
     return g.select("Grade_Level", cyc.alias("Cycle"), stg.alias("Stage"))
 
 
-def behaviour_fact(spark: SparkSession, sf: str) -> DataFrame:
+def behaviour_fact(spark: SparkSession, sf: str, cells_df: DataFrame | None = None) -> DataFrame:
     from cohortlens.functions.categorize import subject_category
     from cohortlens.plans.catalog.core import NUMERIC4
 
-    wide = fx.customer_wide(spark, sf, NUMERIC4)
+    wide = fx.customer_wide(spark, sf, NUMERIC4, cells_df)
     long = rs.wide_to_long(wide, ["c_custkey"], NUMERIC4)
     return long.withColumn("Category", subject_category("Subject"))
 
 
-def star_tables(spark: SparkSession, sf: str, behaviour: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All tables of the schema; ``behaviour`` may be the already written fact."""
+def star_tables(
+    spark: SparkSession, sf: str, behaviour: DataFrame | None = None, cells_df: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """All tables of the schema; ``behaviour`` may be the already written fact and
+    ``cells_df`` the stored per-cell aggregate both wide pivots start from."""
 
     people = fx.people(spark, sf).withColumn(SCORE, F.col("c_acctbal") / 100)
     students = clean.dedupe_first(people, ["c_custkey"], ["c_name"])
     students = clean.in_range(students, SCORE, 0, 100).withColumn("Performance_Tier", tier_bin(SCORE))
     schools = clean.dedupe_first(load(spark, sf, "supplier"), ["s_suppkey"], ["s_name"])
-    behaviour = behaviour if behaviour is not None else behaviour_fact(spark, sf)
+    behaviour = behaviour if behaviour is not None else behaviour_fact(spark, sf, cells_df)
     tests = behaviour.where(F.col("Metric") == "Test_Score")
     subject_perf = report.group_stats(tests, ["Grade_Level", "Subject", "Category"], "Value")
     student_avg = students.select("c_custkey", "c_name", "r_name").join(
@@ -87,7 +90,7 @@ def star_tables(spark: SparkSession, sf: str, behaviour: DataFrame | None = None
         "03_grades": grade_dim(spark),
         "04_behavior": behaviour,
         "05_subject_performance": subject_perf,
-        "06_textbook": rs.textbook_long(fx.customer_wide(spark, sf, ["Textbook"]), ["c_custkey"]),
+        "06_textbook": rs.textbook_long(fx.customer_wide(spark, sf, ["Textbook"], cells_df), ["c_custkey"]),
         "07_student_avg": student_avg,
         "08_attendance_vs_score": att_vs_score,
         "09_national_exam": exams,
@@ -100,9 +103,12 @@ def write_star_schema(spark: SparkSession, sf: str, base: str, fmt: str = "parqu
     """Write every table.  The behaviour fact feeds four outputs, so it is
     written first and the others are built from the stored copy (no recompute
     of the wide pivot, and a lineage cut that survives lost executors)."""
-    counts = write_tables({"04_behavior": behaviour_fact(spark, sf)}, base, fmt)
+    cells_path = os.path.join(base, "_cells")
+    fx.cells(spark, sf).write.mode("overwrite").parquet(cells_path)  # shared by the two wide pivots
+    cells_df = spark.read.parquet(cells_path)
+    counts = write_tables({"04_behavior": behaviour_fact(spark, sf, cells_df)}, base, fmt)
     stored = spark.read.format(fmt).load(os.path.join(base, "04_behavior")) if fmt != "csv" else None
-    tables = star_tables(spark, sf, stored)
+    tables = star_tables(spark, sf, stored, cells_df)
     tables.pop("04_behavior")
     counts.update(write_tables(tables, base, fmt))
     return counts
