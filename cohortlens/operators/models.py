@@ -23,7 +23,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators import stats
@@ -31,8 +31,8 @@ from cohortlens.operators.sizing import broadcast_if_small, one_row
 from cohortlens.sources.prepare import row_positions
 
 
-def feature_pipeline(features: Sequence[str], estimator=None, impute: bool = True, with_mean: bool = True) -> Pipeline:
-    """Imputer(median) -> assemble -> standardise (-> estimator)."""
+def assemble_model(features: Sequence[str], estimator=None, impute: bool = True, with_mean: bool = True) -> Pipeline:
+    """Spark ML stages: Imputer(median) -> assemble -> standardise (-> estimator)."""
     stages = []
     cols = list(features)
     if impute:
@@ -59,7 +59,7 @@ def train_compare(
     fitted: dict[str, PipelineModel] = {}
     out = None
     for name, est in estimators.items():
-        model = feature_pipeline(features, est.setLabelCol(label).setFeaturesCol("features")).fit(train)
+        model = assemble_model(features, est.setLabelCol(label).setFeaturesCol("features")).fit(train)
         fitted[name] = model
         m = stats.regression_metrics(model.transform(test), label, "prediction").withColumn("model", F.lit(name))
         out = m if out is None else out.unionByName(m)
@@ -79,7 +79,7 @@ def classifier_compare(
     fitted = {}
     out = None
     for name, est in estimators.items():
-        model = feature_pipeline(features, est.setLabelCol(label).setFeaturesCol("features")).fit(train)
+        model = assemble_model(features, est.setLabelCol(label).setFeaturesCol("features")).fit(train)
         fitted[name] = model
         scored = model.transform(test).withColumn("p1", vector_to_array("probability")[1])
         scored = scored.withColumn("pred", (F.col("p1") >= threshold).cast("int"))
@@ -104,7 +104,7 @@ def cross_validate(
     """``CrossValidator`` (R², k folds, optional user fold column) over
     a parameter grid; one row per grid point with mean and std of the fold R²."""
     est = estimator.setLabelCol(label).setFeaturesCol("features")
-    pipe = feature_pipeline(features, est)
+    pipe = assemble_model(features, est)
     builder = ParamGridBuilder()
     for pname, values in (grid or {}).items():
         builder = builder.addGrid(est.getParam(pname), list(values))
@@ -136,16 +136,10 @@ def importance(model: PipelineModel, features: Sequence[str]) -> DataFrame:
         vals = last.featureImportances.toArray().tolist()
     else:
         vals = [abs(v) for v in last.coefficients.toArray().tolist()]
-    spark = SparkSessionOf(model)
+    spark = SparkSession.getActiveSession()
     return spark.createDataFrame(list(zip(features, map(float, vals))), "feature string, importance double")
 
 
-def SparkSessionOf(_model):  # noqa: N802 - tiny accessor
-    from pyspark.sql import SparkSession
-
-    return SparkSession.getActiveSession()
-
-
 def permutation_importance(
     model: PipelineModel,
     test: DataFrame,
@@ -212,7 +206,7 @@ def kmeans_profile(
     """K-means (k-means|| init) on standardised features; clusters
     named by mean ``value`` rank; returns (rows with cluster label, profile
     table, silhouette).  Spark's silhouette is the squared-Euclidean form."""
-    pipe = feature_pipeline(features, KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster"))
+    pipe = assemble_model(features, KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster"))
     model = pipe.fit(df)
     scored = model.transform(df)
     sil = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(scored)
@@ -230,7 +224,7 @@ def pca_projection(df: DataFrame, features: Sequence[str], k: int = 2, keep: Seq
     """Rows projected on the first k principal components of the
     standardised (centred) features; each component's sign is fixed so its
     loadings sum to a positive number."""
-    pipe = feature_pipeline(features, PCA(k=k, inputCol="features", outputCol="pcs"))
+    pipe = assemble_model(features, PCA(k=k, inputCol="features", outputCol="pcs"))
     model = pipe.fit(df)
     pc = model.stages[-1].pc.toArray()
     signs = [1.0 if pc[:, j].sum() >= 0 else -1.0 for j in range(k)]

@@ -24,8 +24,8 @@ _EXPORT_SCHEMA = "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_or
     sql="SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders",
 )
 def csv_roundtrip(spark, sf):
-    """S5 export of the selected columns to CSV (row count observed during the
-    write, S3), then S1 scan back with an explicit schema."""
+    """S5 export of the selected columns to CSV (stored row count reported, S3),
+    then S1 scan back with an explicit schema."""
     path = scratch_path(spark, f"export/orders_{uuid.uuid4().hex}")
     io.export_selected(load(spark, sf, "orders"), _EXPORT_COLS, path, "csv")
     return io.read_csv(spark, path, _EXPORT_SCHEMA)
@@ -50,8 +50,8 @@ UNION ALL SELECT '11_school_summary', count(DISTINCT l_suppkey) FROM lineitem"""
     headline=True,
 )
 def star_schema_export(spark, sf):
-    """Entry point A end to end: twelve tables written as Parquet, counts
-    observed during the writes."""
+    """Entry point A end to end: twelve tables written as Parquet, stored row
+    counts read from the Parquet footers."""
     base = scratch_path(spark, f"star/{uuid.uuid4().hex}")
     counts = write_star_schema(spark, sf, base)
     return spark.createDataFrame(sorted(counts.items()), "table string, rows bigint")

@@ -88,7 +88,7 @@ def cv_scores(spark, sf):
     train, test = _split(spark, sf)
     est = GBTRegressor(maxIter=GBT_ITER, maxDepth=GBT_DEPTH, stepSize=GBT_STEP, seed=42)
     cv = ml.cross_validate(sp.kfold(train, "c_custkey", 5), FEATURES, TARGET, est, None, "fold")
-    model = ml.feature_pipeline(FEATURES, est.setLabelCol(TARGET).setFeaturesCol("features")).fit(train)
+    model = ml.assemble_model(FEATURES, est.setLabelCol(TARGET).setFeaturesCol("features")).fit(train)
     tr = stats.regression_metrics(model.transform(train), TARGET, "prediction").select(F.col("r2").alias("train_r2"))
     te = stats.regression_metrics(model.transform(test), TARGET, "prediction").select(F.col("r2").alias("test_r2"))
     j = cv.crossJoin(tr).crossJoin(te).withColumn("gap", F.col("test_r2") - F.col("mean_r2"))
@@ -139,7 +139,7 @@ def smote(spark, sf):
 def importance(spark, sf):
     train, _ = _split(spark, sf)
     est = RandomForestRegressor(numTrees=RF_TREES, maxDepth=RF_DEPTH, seed=42, labelCol=TARGET, featuresCol="features")
-    model = ml.feature_pipeline(FEATURES, est).fit(train)
+    model = ml.assemble_model(FEATURES, est).fit(train)
     return finish(ml.importance(model, FEATURES))
 
 
@@ -148,7 +148,7 @@ def importance(spark, sf):
 def permutation_importance(spark, sf):
     train, test = _split(spark, sf)
     est = GBTRegressor(maxIter=GBT_ITER, maxDepth=GBT_DEPTH, stepSize=GBT_STEP, seed=42, labelCol=TARGET, featuresCol="features")
-    model = ml.feature_pipeline(FEATURES, est).fit(train)
+    model = ml.assemble_model(FEATURES, est).fit(train)
     return finish(ml.permutation_importance(model, test, "c_custkey", FEATURES, TARGET, repeats=3))
 
 
@@ -156,7 +156,7 @@ def permutation_importance(spark, sf):
 @register("linear_attribution")
 def linear_attribution(spark, sf):
     train, test = _split(spark, sf)
-    model = ml.feature_pipeline(FEATURES, LinearRegression(labelCol=TARGET, featuresCol="features")).fit(train)
+    model = ml.assemble_model(FEATURES, LinearRegression(labelCol=TARGET, featuresCol="features")).fit(train)
     _, glob = ml.linear_attribution(model, test, FEATURES, "c_custkey")
     return finish(glob)
 
@@ -204,6 +204,6 @@ def blend(spark, sf):
 @register("save_reload_check")
 def save_reload_check(spark, sf):
     train, test = _split(spark, sf)
-    model = ml.feature_pipeline(FEATURES, GBTRegressor(maxIter=10, maxDepth=3, seed=42, labelCol=TARGET, featuresCol="features")).fit(train)
+    model = ml.assemble_model(FEATURES, GBTRegressor(maxIter=10, maxDepth=3, seed=42, labelCol=TARGET, featuresCol="features")).fit(train)
     path = scratch_path(spark, f"models/gbt_{abs(hash(sf)) % 10**8}")
     return finish(ml.save_reload_check(model, test, path, "c_custkey"))

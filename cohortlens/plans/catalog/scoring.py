@@ -213,8 +213,8 @@ def batch_score(spark, sf):
     predicted score clipped to 0-100, risk probability, status, cause summary."""
     d = model_frame(spark, sf)
     train = d.where(F.col("split") == "train")
-    reg = ml.feature_pipeline(FEATURES, GBTRegressor(maxIter=GBT_ITER, maxDepth=GBT_DEPTH, stepSize=GBT_STEP, seed=42, labelCol=TARGET, featuresCol="features")).fit(train)
-    clf = ml.feature_pipeline(FEATURES, GBTClassifier(maxIter=GBT_ITER, maxDepth=GBT_DEPTH, stepSize=GBT_STEP, seed=42, labelCol=RISK, featuresCol="features")).fit(train)
+    reg = ml.assemble_model(FEATURES, GBTRegressor(maxIter=GBT_ITER, maxDepth=GBT_DEPTH, stepSize=GBT_STEP, seed=42, labelCol=TARGET, featuresCol="features")).fit(train)
+    clf = ml.assemble_model(FEATURES, GBTClassifier(maxIter=GBT_ITER, maxDepth=GBT_DEPTH, stepSize=GBT_STEP, seed=42, labelCol=RISK, featuresCol="features")).fit(train)
     s = reg.transform(d).select("c_custkey", *FEATURES, clip("prediction", 0.0, 100.0).alias("predicted_score"))
     p = clf.transform(d).select("c_custkey", vector_to_array("probability")[1].alias("risk_probability"))
     j = s.join(p, "c_custkey")

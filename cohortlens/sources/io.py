@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -20,18 +20,20 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", partition_by: Sequence[str] = ()) -> int:
-    """S3: write and return the row count, observed during the write itself
-    (``observe``), so the table is not scanned twice."""
-    obs = Observation(f"rows_{abs(hash(path)) % 10**9}")
-    observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
-    w = observed.write.mode(mode)
+    """S3: write and return the stored row count.  For Parquet the count is
+    read back from the file footers (row-group metadata, no data scan).
+
+    (``observe()`` would count during the write, but a registered
+    ``Observation`` stays attached to the session and later breaks the
+    serialisation of RDD-based ML tasks in the same session.)"""
+    w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
         w.option("header", True).csv(path)
-    else:
-        w.format(fmt).save(path)
-    return int(obs.get["rows"])
+        return df.sparkSession.read.option("header", True).csv(path).count()
+    w.format(fmt).save(path)
+    return df.sparkSession.read.format(fmt).load(path).count()
 
 
 def write_tables(tables: Mapping[str, DataFrame], base: str, fmt: str = "parquet") -> dict[str, int]:

@@ -35,7 +35,7 @@ def test_target_encoder_matches_spark_ml(spark):
 
 def test_linear_attribution_sums_to_prediction(spark, frame):
     train = frame.where("split = 'train'")
-    m = models.feature_pipeline(mq.FEATURES, LinearRegression(labelCol=mq.TARGET, featuresCol="features")).fit(train)
+    m = models.assemble_model(mq.FEATURES, LinearRegression(labelCol=mq.TARGET, featuresCol="features")).fit(train)
     local, _ = models.linear_attribution(m, frame, mq.FEATURES, "c_custkey")
     tot = local.groupBy("c_custkey").agg(F.sum("contribution").alias("s"))
     pred = m.transform(frame).select("c_custkey", "prediction")
@@ -53,7 +53,7 @@ def test_blend_weights_must_sum_to_one(spark):
 
 def test_save_reload_identical(spark, frame, tmp_path):
     train = frame.where("split = 'train'")
-    m = models.feature_pipeline(mq.FEATURES, GBTRegressor(maxIter=3, maxDepth=2, labelCol=mq.TARGET, featuresCol="features")).fit(train)
+    m = models.assemble_model(mq.FEATURES, GBTRegressor(maxIter=3, maxDepth=2, labelCol=mq.TARGET, featuresCol="features")).fit(train)
     r = models.save_reload_check(m, frame, str(tmp_path / "m"), "c_custkey").first()
     assert r.identical and r.max_abs_diff == 0.0
 
