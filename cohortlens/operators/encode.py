@@ -89,19 +89,20 @@ def kfold_target_encode(
 ) -> DataFrame:
     """Out-of-fold smoothed target encoding.
 
-    One aggregate by (category, fold) gives per-fold sums and counts; the
-    category totals come from a second aggregate of that small table, and the
-    out-of-fold statistics are ``total - fold``.  The smoothing prior is the
-    global mean over *all* rows.  A category absent from the other folds gets
-    the global mean.  The table joined back has #categories × k rows."""
+    The input is aggregated once, by (category, fold) -- null categories
+    included, so the same small table also gives the global mean (the
+    smoothing prior over *all* rows) and the set of folds.  Category totals
+    minus the row's own fold give the out-of-fold statistics; a category absent
+    from the other folds gets the global mean.  Two passes over the rows in
+    total (this aggregate and the join back); the joined table has
+    #categories × k rows."""
     d = df.withColumn("_fold", fold)
-    g = one_row(d.where(F.col(target).isNotNull()).agg(F.avg(target).alias("_g")))
     y = F.col(target).cast("double")
-    per = d.where(F.col(col).isNotNull() & y.isNotNull()).groupBy(col, "_fold").agg(
-        F.sum(y).alias("_fs"), F.count(F.lit(1)).alias("_fc")
-    )
+    per_all = d.where(y.isNotNull()).groupBy(col, "_fold").agg(F.sum(y).alias("_fs"), F.count(F.lit(1)).alias("_fc"))
+    g = one_row(per_all.agg((F.sum("_fs") / F.sum("_fc")).alias("_g")))
+    per = per_all.where(F.col(col).isNotNull())
     tot = per.groupBy(col).agg(F.sum("_fs").alias("_ts"), F.sum("_fc").alias("_tc"))
-    folds = d.select("_fold").distinct()
+    folds = per_all.select("_fold").distinct()
     # every (category, fold) pair, so rows of a fold whose category is only in that fold are covered
     grid = tot.crossJoin(broadcast_if_small(folds)).join(per, [col, "_fold"], "left")
     oof_n = F.col("_tc") - F.coalesce(F.col("_fc"), F.lit(0))
