@@ -81,39 +81,46 @@ def load_encoder(spark, path: str) -> DataFrame:
 
 def kfold_target_encode(
     df: DataFrame,
-    col: str,
+    col: str | Sequence[str],
     target: str,
     fold: Column,
-    out: str,
+    out: str | Sequence[str],
     alpha: float = config.SMOOTHING_ALPHA,
 ) -> DataFrame:
-    """Out-of-fold smoothed target encoding.
-
-    The input is aggregated once, by (category, fold) -- null categories
-    included, so the same small table also gives the global mean (the
-    smoothing prior over *all* rows) and the set of folds.  Category totals
-    minus the row's own fold give the out-of-fold statistics; a category absent
-    from the other folds gets the global mean.  Two passes over the rows in
-    total (this aggregate and the join back); the joined table has
-    #categories × k rows."""
+    """Out-of-fold smoothed target encoding of one or several columns.
+
+    Per column, the rows are aggregated once by (category, fold) -- every pair
+    present in the data, with the sum and count of non-null targets -- and a
+    window partitioned by category (at most k rows per category) adds the
+    category totals; ``total - own fold`` gives the out-of-fold statistics.
+    The smoothing prior is the global mean over *all* rows (one more
+    aggregate).  A category absent from the other folds, or a null category,
+    gets the global mean.  The encoder tables (#categories × k rows each) are
+    joined onto the input once, so the input is scanned once per column for
+    its aggregate, once for the prior and once for the output -- encodings of
+    several columns do not stack each other's plans."""
+    from pyspark.sql import Window
+
+    cols = [col] if isinstance(col, str) else list(col)
+    outs = [out] if isinstance(out, str) else list(out)
     d = df.withColumn("_fold", fold)
     y = F.col(target).cast("double")
-    per_all = d.where(y.isNotNull()).groupBy(col, "_fold").agg(F.sum(y).alias("_fs"), F.count(F.lit(1)).alias("_fc"))
-    g = one_row(per_all.agg((F.sum("_fs") / F.sum("_fc")).alias("_g")))
-    per = per_all.where(F.col(col).isNotNull())
-    tot = per.groupBy(col).agg(F.sum("_fs").alias("_ts"), F.sum("_fc").alias("_tc"))
-    folds = per_all.select("_fold").distinct()
-    # every (category, fold) pair, so rows of a fold whose category is only in that fold are covered
-    grid = tot.crossJoin(broadcast_if_small(folds)).join(per, [col, "_fold"], "left")
-    oof_n = F.col("_tc") - F.coalesce(F.col("_fc"), F.lit(0))
-    oof_s = F.col("_ts") - F.coalesce(F.col("_fs"), F.lit(0.0))
-    enc = grid.crossJoin(g).select(
-        col,
-        "_fold",
-        F.when(oof_n > 0, (oof_s + F.lit(alpha) * F.col("_g")) / (oof_n + F.lit(alpha))).alias("_enc"),
-    )
-    j = d.join(broadcast_if_small(enc), [col, "_fold"], "left").crossJoin(g)
-    return j.withColumn(out, F.coalesce(F.col("_enc"), F.col("_g"))).drop("_enc", "_g", "_fold")
+    g = one_row(d.agg(F.avg(y).alias("_g")))
+    res = d
+    for c, o in zip(cols, outs):
+        per = d.where(F.col(c).isNotNull()).groupBy(c, "_fold").agg(F.sum(y).alias("_fs"), F.count(y).alias("_fc"))
+        w = Window.partitionBy(c)
+        per = per.withColumn("_ts", F.sum("_fs").over(w)).withColumn("_tc", F.sum("_fc").over(w))
+        oof_n = F.col("_tc") - F.col("_fc")
+        oof_s = F.coalesce(F.col("_ts"), F.lit(0.0)) - F.coalesce(F.col("_fs"), F.lit(0.0))
+        enc = per.crossJoin(g).select(
+            c,
+            "_fold",
+            F.coalesce(F.when(oof_n > 0, (oof_s + F.lit(alpha) * F.col("_g")) / (oof_n + F.lit(alpha))), F.col("_g")).alias(o),
+        )
+        res = res.join(broadcast_if_small(enc), [c, "_fold"], "left")
+    res = res.crossJoin(g)
+    return res.withColumns({o: F.coalesce(F.col(o), F.col("_g")) for o in outs}).drop("_g", "_fold")
 
 
 def distinct_sorted(df: DataFrame, col: str, limit: int | None = None) -> list:

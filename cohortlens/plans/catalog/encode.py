@@ -94,8 +94,7 @@ SELECT a.o_orderkey, round(a.v, 6) AS priority_te, round(b.v, 6) AS custkey_te F
 def kfold_target_encode(spark, sf):
     o = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
     fold = F.pmod(F.col("o_orderkey"), F.lit(5))
-    o = enc.kfold_target_encode(o, "o_orderpriority", "o_totalprice", fold, "priority_te")
-    o = enc.kfold_target_encode(o, "o_custkey", "o_totalprice", fold, "custkey_te")
+    o = enc.kfold_target_encode(o, ["o_orderpriority", "o_custkey"], "o_totalprice", fold, ["priority_te", "custkey_te"])
     return finish(o.select("o_orderkey", "priority_te", "custkey_te"))
 
 
