@@ -22,7 +22,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators.sizing import broadcast_if_small
-from cohortlens.sources.prepare import row_positions
+from cohortlens.sources.prepare import row_positions, running_sums
+
+
+def _positions_and_sizes(df: DataFrame, value: str, groups: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Non-null values with their global position in (groups..., value) order,
+    and per group its size and first position.  Group sizes come from their own
+    aggregate and a running sum over the (small) group table, so the sorted
+    frame is consumed only once downstream."""
+    d = df.select(*groups, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    for gcol in groups:  # null group keys are dropped, as in a pandas groupby
+        d = d.where(F.col(gcol).isNotNull())
+    pos = row_positions(d, [*groups, "_v"], "_pos")
+    if groups:
+        n = d.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+        sizes = running_sums(n, list(groups), ["_n"], prefix="_before", inclusive=False)
+        sizes = sizes.select(*groups, "_n", (F.col("_before_n") + 1).alias("_start"))
+    else:
+        sizes = d.agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.lit(1).cast("long"))
+    return pos, sizes
 
 
 def quantiles(
@@ -44,11 +62,7 @@ def quantiles(
         arr = g.agg(F.percentile_approx(F.col(value).cast("double"), list(probs), accuracy).alias("_q"))
         return arr.select(*groups, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
-    d = df.select(*groups, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    for gcol in groups:  # null group keys are dropped, as in a pandas groupby
-        d = d.where(F.col(gcol).isNotNull())
-    pos = row_positions(d, [*groups, "_v"], "_pos")
-    sizes = pos.groupBy(*groups).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    pos, sizes = _positions_and_sizes(df, value, groups)
     # target ranks: for each prob, the floor and ceil positions of h = (n - 1) p
     tgt = sizes.select(
         *groups,
@@ -66,16 +80,26 @@ def quantiles(
         ).alias("_t"),
     ).select(*groups, "_start", "_t._i", "_t._h")
     tgt = tgt.withColumn("_lo", F.floor("_h").cast("long")).withColumn("_hi", F.ceil("_h").cast("long"))
-    need = tgt.select(*groups, (F.col("_start") + F.col("_lo")).alias("_p")).unionByName(
-        tgt.select(*groups, (F.col("_start") + F.col("_hi")).alias("_p"))
-    ).distinct()
-    picked = pos.join(broadcast_if_small(need.withColumnRenamed("_p", "_pos")), [*groups, "_pos"] if groups else ["_pos"])
-    picked = picked.select(*groups, "_pos", "_v")
-    lo = picked.select(*groups, F.col("_pos").alias("_plo"), F.col("_v").alias("_vlo"))
-    hi = picked.select(*groups, F.col("_pos").alias("_phi"), F.col("_v").alias("_vhi"))
-    t = tgt.withColumn("_plo", F.col("_start") + F.col("_lo")).withColumn("_phi", F.col("_start") + F.col("_hi"))
-    t = t.join(lo, [*groups, "_plo"]).join(hi, [*groups, "_phi"])
-    t = t.withColumn("_q", F.col("_vlo") + (F.col("_h") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo")))
+    # one row per (target, bracket side) with its absolute position; the sorted
+    # values are joined once and both sides are folded back per target
+    need = tgt.select(
+        *groups,
+        "_i",
+        "_h",
+        "_lo",
+        F.explode(
+            F.array(
+                F.struct(F.lit(0).alias("_side"), (F.col("_start") + F.col("_lo")).alias("_pos")),
+                F.struct(F.lit(1).alias("_side"), (F.col("_start") + F.col("_hi")).alias("_pos")),
+            )
+        ).alias("_b"),
+    ).select(*groups, "_i", "_h", "_lo", "_b._side", "_b._pos")
+    picked = pos.join(broadcast_if_small(need), [*groups, "_pos"] if groups else ["_pos"])
+    per_t = picked.groupBy(*groups, "_i", "_h", "_lo").agg(
+        F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_vlo"),
+        F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_vhi"),
+    )
+    t = per_t.withColumn("_q", F.col("_vlo") + (F.col("_h") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo")))
     g = t.groupBy(*groups) if groups else t.groupBy()
     return g.agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
 
@@ -90,11 +114,7 @@ def order_statistics(
     expression of ``_n`` (the group's count) giving a 0-based rank.  Same
     distributed machinery as ``quantiles``; one row per group."""
     groups = list(groups)
-    d = df.select(*groups, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    for gcol in groups:
-        d = d.where(F.col(gcol).isNotNull())
-    pos = row_positions(d, [*groups, "_v"], "_pos")
-    sizes = pos.groupBy(*groups).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    pos, sizes = _positions_and_sizes(df, value, groups)
     tgt = sizes.select(
         *groups,
         "_start",
