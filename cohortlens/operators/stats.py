@@ -92,9 +92,15 @@ def durbin_watson(df: DataFrame, residual: str, order: Sequence[str]) -> DataFra
     d = df.select(*order, F.col(residual).cast("double").alias("_e")).where(F.col("_e").isNotNull())
     pos = row_positions(d, list(order), "_pos").select("_pos", "_e")
     prev = pos.select((F.col("_pos") + 1).alias("_pos"), F.col("_e").alias("_e_prev"))
-    diffs = pos.join(prev, "_pos").agg(F.sum((F.col("_e") - F.col("_e_prev")) ** 2).alias("_num"))
-    den = pos.agg(F.sum(F.col("_e") ** 2).alias("_den"), F.count(F.lit(1)).alias("n"))
-    return diffs.crossJoin(den).select("n", (F.col("_num") / F.col("_den")).alias("durbin_watson"))
+    # a left join keeps the first row (no predecessor) for the denominator, so
+    # numerator, denominator and n come from one aggregate
+    j = pos.join(prev, "_pos", "left")
+    agg = j.agg(
+        F.sum((F.col("_e") - F.col("_e_prev")) ** 2).alias("_num"),
+        F.sum(F.col("_e") ** 2).alias("_den"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    return agg.select("n", (F.col("_num") / F.col("_den")).alias("durbin_watson"))
 
 
 def category_association(df: DataFrame, categoricals: Sequence[str], target: str) -> DataFrame:
