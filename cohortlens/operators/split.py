@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.sources.prepare import row_positions
+from cohortlens.sources.prepare import row_positions, running_sums
 
 
 def hash_order(id_col: str, seed: int = 42) -> Column:
@@ -36,7 +36,11 @@ def stratified_split(df: DataFrame, label: str, order: Sequence[str], test_fract
     test.  Ranks within a stratum come from global positions of a range-sorted
     frame, so a stratum with most of the rows is not sorted in one task."""
     pos = row_positions(df, [label, *order], "_pos")
-    st = pos.groupBy(label).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    # stratum sizes and first positions from their own aggregate (one row per
+    # label value) and a running sum, so the sorted frame is consumed once
+    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    st = running_sums(n, [label], ["_n"], prefix="_before", inclusive=False)
+    st = st.select(label, "_n", (F.col("_before_n") + 1).alias("_start"))
     j = pos.join(F.broadcast(st), label)  # one row per label value
     rank = F.col("_pos") - F.col("_start")
     n_test = F.ceil(F.col("_n") * F.lit(test_fraction))
