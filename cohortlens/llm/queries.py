@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortlens.sources.tables import load
 
@@ -29,6 +30,13 @@ def _word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@_query
+def op1_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.vector_links import link_vectors
+
+    return link_vectors(load(spark, sf_dir, "embeddings"))
+
+
 @_query
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortlens.llm.token_counts import token_counts
@@ -41,3 +49,20 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortlens.llm.packing import pack
 
     return pack(load(spark, sf_dir, "documents"), _word_bpe())
+
+
+@_query
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.order_minhash import near_duplicates
+
+    return near_duplicates(load(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.line_dedup import dedup_lines
+
+    kept = dedup_lines(load(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id", "lines_before", "lines_dropped", F.length("text").alias("chars_kept"), F.crc32("text").alias("text_crc32")
+    )
