@@ -66,3 +66,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(
         "doc_id", "lines_before", "lines_dropped", F.length("text").alias("chars_kept"), F.crc32("text").alias("text_crc32")
     )
+
+
+@_query
+def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.decontaminate import contaminated
+
+    return contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
