@@ -73,3 +73,18 @@ def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortlens.llm.decontaminate import contaminated
 
     return contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op8_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.ppm import score_documents
+
+    return score_documents(load(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.language_id import fit_text_model, identify, page_rows
+
+    model = fit_text_model(load(spark, sf_dir, "documents"))
+    return identify(page_rows(load(spark, sf_dir, "pages")), model).withColumnRenamed("id", "page_id")
