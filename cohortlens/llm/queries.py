@@ -88,3 +88,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     model = fit_text_model(load(spark, sf_dir, "documents"))
     return identify(page_rows(load(spark, sf_dir, "pages")), model).withColumnRenamed("id", "page_id")
+
+
+@_query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.toxicity import score_documents
+
+    return score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))

@@ -14,8 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2**64
+INVERSE = pow(BASE, -1, 1 << 64)
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -32,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _POWERS: dict[int, np.ndarray] = {}
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
         p = np.full(max(n, 1 << 16), _U(base), _U)
@@ -56,8 +56,8 @@ def words(texts: Sequence[str | None]) -> Words:
     inside = _WORD[data]
     edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0))
     first, last = edge[0::2], edge[1::2]  # every text ends with a blank, so each word ends
-    total = np.concatenate(([_U(0)], np.cumsum((data.astype(_U) + _U(1)) * _powers(_BASE, len(data)), dtype=_U)))
-    hashes = mix((total[last] - total[first]) * _powers(_INVERSE, len(data))[first] + (last - first).astype(_U))
+    total = np.concatenate(([_U(0)], np.cumsum((data.astype(_U) + _U(1)) * powers(BASE, len(data)), dtype=_U)))
+    hashes = mix((total[last] - total[first]) * powers(INVERSE, len(data))[first] + (last - first).astype(_U))
     start = np.concatenate(([0], np.searchsorted(first, ends)))
     return Words(hashes, start.astype(np.int64))
 
@@ -74,7 +74,7 @@ def shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros(len(at), _U)
     for i in range(k):
         word = np.where(at + i < ends, padded[at + i], _U(0))
-        out = mix(out * _U(_BASE) + word)
+        out = mix(out * _U(BASE) + word)
     return out, start
 
 
