@@ -95,3 +95,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortlens.llm.toxicity import score_documents
 
     return score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+@_query
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.chat_format import repair, summary
+
+    return summary(repair(load(spark, sf_dir, "conversations")))
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
