@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cohortlens import config
 from cohortlens.functions.categorize import lookup, title_case
 from cohortlens.operators.sizing import broadcast_if_small, one_row
+from cohortlens.sources.prepare import row_positions
 
 
 def map_encode(df: DataFrame, maps: Mapping[str, Mapping], suffix: str = "", defaults: Mapping[str, object] | None = None) -> DataFrame:
@@ -150,7 +151,7 @@ def label_encoder(df: DataFrame, col: str) -> DataFrame:
     """E9 (fit): ``(category, index)`` with the index in sorted order from 0.
     Ranks are taken over the distinct values only."""
     vals = df.where(F.col(col).isNotNull()).select(col).distinct()
-    return vals.withColumn("index", (F.row_number().over(Window.orderBy(col)) - 1).cast("int"))
+    return row_positions(vals, [col], "_pos").select(col, (F.col("_pos") - 1).cast("int").alias("index"))
 
 
 def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cohortlens import config
 from cohortlens.functions.categorize import level_band
 from cohortlens.operators.quantiles import quantiles
+from cohortlens.operators.sizing import one_row
 
 
 def _c(c: Column | str) -> Column:
@@ -68,9 +69,8 @@ def value_counts(df: DataFrame, key: str, normalize: bool = False) -> DataFrame:
     """Count per value (null dropped) and its share of all non-null rows."""
     vc = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     if normalize:
-        from pyspark.sql import Window
-
-        vc = vc.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+        total = vc.agg(F.sum("n").alias("_total"))
+        vc = vc.crossJoin(one_row(total)).withColumn("share", F.col("n") / F.col("_total")).drop("_total")
     return vc
 
 

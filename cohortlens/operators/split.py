@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.operators.sizing import broadcast_if_small
 from cohortlens.sources.prepare import row_positions, running_sums
 
 
@@ -41,7 +42,7 @@ def stratified_split(df: DataFrame, label: str, order: Sequence[str], test_fract
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     st = running_sums(n, [label], ["_n"], prefix="_before", inclusive=False)
     st = st.select(label, "_n", (F.col("_before_n") + 1).alias("_start"))
-    j = pos.join(F.broadcast(st), label)  # one row per label value
+    j = pos.join(broadcast_if_small(st), label)  # one row per label value
     rank = F.col("_pos") - F.col("_start")
     n_test = F.ceil(F.col("_n") * F.lit(test_fraction))
     return j.withColumn("split", F.when(rank < n_test, "test").otherwise("train")).drop("_pos", "_start", "_n")

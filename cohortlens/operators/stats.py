@@ -2,8 +2,8 @@
 
 Correlations are single-pass aggregate expressions (pairwise null deletion, like
 pandas); ranking happens on the small result.  Ordered statistics (Durbin-Watson,
-ROC) use global positions from a range-partitioned sort plus an equi-join to
-the predecessor, never a single-partition window.
+ROC) use stored ranges of a sort, with what crosses a range carried in the table
+of one row per range; the only global windows are over that table.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.sources.prepare import row_positions, running_sums
+from cohortlens.sources.prepare import ranged, running_sums
 
 
 def _q(c: str):
@@ -88,32 +88,40 @@ def trend_line(df: DataFrame, x: str, y: str, groups: Sequence[str] = ()) -> Dat
 
 def durbin_watson(df: DataFrame, residual: str, order: Sequence[str]) -> DataFrame:
     """Σ(e_t − e_{t−1})² / Σe_t² in ``order`` (unique).  Each row meets its
-    predecessor through global positions and an equi-join on position − 1."""
+    predecessor by ``lag`` inside its range; the first row of a range meets the
+    last one of the range before in the table of one row per range."""
     d = df.select(*order, F.col(residual).cast("double").alias("_e")).where(F.col("_e").isNotNull())
-    pos = row_positions(d, list(order), "_pos").select("_pos", "_e")
-    prev = pos.select((F.col("_pos") + 1).alias("_pos"), F.col("_e").alias("_e_prev"))
-    # a left join keeps the first row (no predecessor) for the denominator, so
-    # numerator, denominator and n come from one aggregate
-    j = pos.join(prev, "_pos", "left")
-    agg = j.agg(
-        F.sum((F.col("_e") - F.col("_e_prev")) ** 2).alias("_num"),
+    inside = Window.partitionBy("_range").orderBy("_place")
+    r = ranged(d, list(order)).select("_range", "_place", "_e", F.lag("_e").over(inside).alias("_prev"))
+    per = r.groupBy("_range").agg(
+        F.sum((F.col("_e") - F.col("_prev")) ** 2).alias("_num"),
         F.sum(F.col("_e") ** 2).alias("_den"),
         F.count(F.lit(1)).alias("n"),
+        F.min_by("_e", "_place").alias("_first"),
+        F.max_by("_e", "_place").alias("_last"),
+    )
+    before = F.lag("_last").over(Window.orderBy("_range"))  # one row per range
+    per = per.withColumn("_seam", (F.col("_first") - before) ** 2)
+    agg = per.agg(
+        (F.coalesce(F.sum("_num"), F.lit(0.0)) + F.coalesce(F.sum("_seam"), F.lit(0.0))).alias("_num"),
+        F.sum("_den").alias("_den"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
     )
     return agg.select("n", (F.col("_num") / F.col("_den")).alias("durbin_watson"))
 
 
 def category_association(df: DataFrame, categoricals: Sequence[str], target: str) -> DataFrame:
     """For each categorical column, corr(target mean of the row's category,
-    target).  The per-category means are a partial aggregate joined back on the
-    category (no window over a hot category)."""
+    target).  With n, Σy and Σy² per category the means need no join back:
+    cov(m, y) = var(m), so the correlation is sqrt(var(m) / var(y))."""
     out = None
     t = _q(target).cast("double")
     for c in categoricals:
-        d = df.select(F.col(c).alias("_k"), t.alias("_y")).where(F.col("_k").isNotNull())
-        means = d.groupBy("_k").agg(F.avg("_y").alias("_m"))
-        j = d.join(means, "_k")
-        part = j.agg(F.corr("_m", "_y").alias("corr")).select(F.lit(c).alias("column"), "corr")
+        d = df.select(F.col(c).alias("_k"), t.alias("_y")).where(F.col("_k").isNotNull() & F.col("_y").isNotNull())
+        per = d.groupBy("_k").agg(F.count("_y").alias("_n"), F.sum("_y").alias("_s"), F.sum(F.col("_y") ** 2).alias("_ss"))
+        n, s = F.sum("_n"), F.sum("_s")
+        tot = per.agg((F.sum(F.col("_s") ** 2 / F.col("_n")) - s * s / n).alias("_vm"), (F.sum("_ss") - s * s / n).alias("_vy"))
+        part = tot.select(F.lit(c).alias("column"), F.when(F.col("_vy") > 0, F.sqrt(F.greatest("_vm", F.lit(0.0)) / F.col("_vy"))).alias("corr"))
         out = part if out is None else out.unionByName(part)
     return out.withColumn("abs_corr", F.abs("corr"))
 

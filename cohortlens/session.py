@@ -42,9 +42,14 @@ def get_spark(master: str | None = None, app: str = "cohortlens", **conf: str) -
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a local one only when unset."""
+    """The cluster's ``spark.checkpoint.dir``.  Where it is unset, a local session
+    gets a temporary folder; on a cluster that would be another folder on every
+    machine, so it is an error there."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder all executors share (master {master})")
         path = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.session import materialize
+
 
 def default_fill(df: DataFrame, defaults: Mapping[str, object], fill_nulls: bool = False) -> DataFrame:
     """Add each absent column as a typed literal; with ``fill_nulls`` also
@@ -19,31 +21,37 @@ def default_fill(df: DataFrame, defaults: Mapping[str, object], fill_nulls: bool
     return out
 
 
-def row_positions(df: DataFrame, order: Sequence[str], out: str = "position") -> DataFrame:
-    """1-based global row number by ``order`` (which must be unique), without a
-    single-partition window.
+def ranged(df: DataFrame, order: Sequence) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``order`` and stored, with the range
+    and the place in it as columns (``_range``, ``_place``).
 
-    The rows are range-partitioned and sorted by ``order``; each partition's row
-    count is aggregated (one row per partition), turned into a running offset
-    on that tiny table, broadcast back, and added to the row's index inside its
-    partition.  The sorted exchange is shared by both branches of the plan.
+    Both are data from here on: whatever reads them -- pruned to other columns,
+    coalesced, run again after a lost executor -- sees the same ranges.  (Two
+    branches that each range-partition the frame do not: the bounds are sampled
+    per exchange.)
     """
-    s = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_mid", F.monotonically_increasing_id())
-    )
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        F.coalesce(
-            F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_off"),
-    )
-    j = s.join(F.broadcast(offsets), "_pid")
-    in_part = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return j.withColumn(out, F.col("_off") + in_part + 1).drop("_pid", "_mid", "_off")
+    mid = F.monotonically_increasing_id()
+    s = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = mid.bitwiseAND(F.lit((1 << 33) - 1))
+    return materialize(s.select("*", F.shiftright(mid, 33).alias("_range"), place.alias("_place")))
+
+
+def range_offsets(per_range: DataFrame, sums: Mapping[str, str]) -> DataFrame:
+    """``_range`` and, per entry ``column -> name``, the sum of ``column`` over
+    all earlier ranges.  ``per_range`` has one row per range, so the global
+    window is over as many rows as the sort had partitions."""
+    prev = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return per_range.select("_range", *[F.coalesce(F.sum(c).over(prev), F.lit(0)).alias(n) for c, n in sums.items()])
+
+
+def row_positions(df: DataFrame, order: Sequence[str], out: str = "position") -> DataFrame:
+    """1-based global row number by ``order`` (which must be unique), without a
+    single-partition window: the place of a row in its range plus the sizes of
+    the ranges before it."""
+    s = ranged(df, order)
+    sizes = s.groupBy("_range").agg((F.max("_place") + 1).alias("_n"))
+    j = s.join(F.broadcast(range_offsets(sizes, {"_n": "_off"})), "_range")  # one row per range
+    return j.withColumn(out, F.col("_off") + F.col("_place") + 1).drop("_range", "_place", "_off")
 
 
 def normalise_ids(df: DataFrame, id_col: str, order: Sequence[str], out: str | None = None) -> DataFrame:
@@ -57,15 +65,13 @@ def normalise_ids(df: DataFrame, id_col: str, order: Sequence[str], out: str | N
 
 def running_sums(df: DataFrame, order: Sequence, cols: Sequence[str], prefix: str = "cum_", inclusive: bool = True) -> DataFrame:
     """Global running sums of ``cols`` in ``order`` (Column sort orders allowed)
-    without a single-partition window: range-partition by the order, running
-    sums inside each partition, plus the totals of all earlier partitions (a
-    table with one row per partition, broadcast)."""
-    s = df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
+    without a single-partition window: running sums inside each range of the
+    order, plus the totals of all earlier ranges."""
+    s = ranged(df, order)
     frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
-    w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(*frame)
+    w = Window.partitionBy("_range").orderBy("_place").rowsBetween(*frame)
     local = s.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_loc_{c}") for c in cols])
-    totals = s.groupBy("_pid").agg(*[F.sum(c).alias(f"_tot_{c}") for c in cols])
-    prev = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_tot_{c}").over(prev), F.lit(0)).alias(f"_off_{c}") for c in cols])
-    j = local.join(F.broadcast(offsets), "_pid")
+    totals = s.groupBy("_range").agg(*[F.sum(c).alias(f"_tot_{c}") for c in cols])
+    offsets = range_offsets(totals, {f"_tot_{c}": f"_off_{c}" for c in cols})
+    j = local.join(F.broadcast(offsets), "_range")  # one row per range
     return j.select(*df.columns, *[(F.col(f"_off_{c}") + F.col(f"_loc_{c}")).alias(f"{prefix}{c}") for c in cols])
