@@ -11,12 +11,13 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
 from pyspark.ml.feature import (
     PCA,
-    BucketedRandomProjectionLSH,
     Imputer,
     StandardScaler,
     VectorAssembler,
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators import stats
 from cohortlens.operators.sizing import broadcast_if_small, one_row
+from cohortlens.session import materialize
 from cohortlens.sources.prepare import row_positions
 
 
@@ -129,15 +131,17 @@ def cross_validate(
     return df.sparkSession.createDataFrame(rows, "params string, mean_r2 double, std_r2 double")
 
 
-def importance(model: PipelineModel, features: Sequence[str]) -> DataFrame:
-    """Tree ``featureImportances`` or |coefficients| zipped to feature names."""
+def importance(model: PipelineModel, features: Sequence[str], top: int | None = None) -> DataFrame:
+    """Tree ``featureImportances`` or |coefficients| zipped to feature names,
+    with their rank (1 = largest; ties by name) and, with ``top``, only the first."""
     last = model.stages[-1]
     if hasattr(last, "featureImportances"):
         vals = last.featureImportances.toArray().tolist()
     else:
         vals = [abs(v) for v in last.coefficients.toArray().tolist()]
     spark = SparkSession.getActiveSession()
-    return spark.createDataFrame(list(zip(features, map(float, vals))), "feature string, importance double")
+    ranked = sorted(zip(features, map(float, vals)), key=lambda x: (-x[1], x[0]))[:top]
+    return spark.createDataFrame([(f, v, i + 1) for i, (f, v) in enumerate(ranked)], "feature string, importance double, rank int")
 
 
 def permutation_importance(
@@ -146,7 +150,7 @@ def permutation_importance(
     id_col: str,
     features: Sequence[str],
     label: str,
-    repeats: int = 3,
+    repeats: int = 10,
     seed: int = 42,
 ) -> DataFrame:
     """R² drop when one feature's values are replaced by those of another row.
@@ -281,49 +285,63 @@ def save_reload_check(model: PipelineModel, df: DataFrame, path: str, id_col: st
     )
 
 
-def smote(
-    df: DataFrame,
-    features: Sequence[str],
-    label: str,
-    id_col: str,
-    k: int = 5,
-    bucket_length: float = 2.0,
-    threshold: float = 3.0,
-    seed: int = 42,
-) -> DataFrame:
+def nearest_neighbours(df: DataFrame, features: Sequence[str], id_col: str, k: int, tables: int = 4, block: int = 512, seed: int = 42) -> DataFrame:
+    """``_a, _b, dist, _j``: for each row its k nearest of the candidates, j from 0.
+
+    Candidates are the rows of the same block: in each table the rows are ranked
+    by a random projection of the standardised features and cut into blocks of
+    ``block`` to twice as many.  Work is n x block x tables, whatever the data's
+    shape; up to ``block`` rows in all, the neighbours are exact.  No row is
+    without neighbours (there is no distance cutoff)."""
+    stages = [VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="error"), StandardScaler(inputCol="_raw", outputCol="_std", withMean=True, withStd=True)]
+    scaled = Pipeline(stages=stages).fit(df).transform(df).select(F.col(id_col).alias("_a"), vector_to_array("_std").alias("_x"))
+    rng = np.random.default_rng(seed)
+    scaled = materialize(scaled)
+    blocks = max(1, scaled.count() // block)
+    parts = None
+    for t in range(tables if blocks > 1 else 1):
+        direction = F.array(*[F.lit(float(v)) for v in rng.normal(size=len(features))])
+        projected = F.aggregate(F.zip_with("_x", direction, lambda x, w: x * w), F.lit(0.0), lambda s, v: s + v)
+        ranked = row_positions(scaled.withColumn("_p", projected), ["_p", "_a"], "_pos")
+        of = F.least(F.floor((F.col("_pos") - 1) / block), F.lit(blocks - 1)).cast("int")
+        part = ranked.select("_a", "_x", F.lit(t).alias("_t"), of.alias("_block"))
+        parts = part if parts is None else parts.unionByName(part)
+
+    def nearest(pdf):
+        x, ids = np.stack(pdf["_x"].to_numpy()), pdf["_a"].to_numpy()
+        d = np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(2), 0))
+        np.fill_diagonal(d, np.inf)
+        order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, : min(k, len(ids) - 1)]
+        rows = np.repeat(np.arange(len(ids)), order.shape[1])
+        return pd.DataFrame({"_a": ids[rows], "_b": ids[order.ravel()], "dist": d[rows, order.ravel()]})
+
+    kind = df.schema[id_col].dataType.simpleString()
+    found = parts.groupBy("_t", "_block").applyInPandas(nearest, f"_a {kind}, _b {kind}, dist double").groupBy("_a", "_b").agg(F.min("dist").alias("dist"))
+    w = Window.partitionBy("_a").orderBy("dist", "_b")  # at most k rows a table
+    return found.withColumn("_j", F.row_number().over(w) - 1).where(F.col("_j") < k)
+
+
+def smote(df: DataFrame, features: Sequence[str], label: str, id_col: str, k: int = 5, seed: int = 42) -> DataFrame:
     """M5: SMOTE oversampling of the minority class as a distributed job.
 
-    Neighbours come from ``BucketedRandomProjectionLSH.approxSimilarityJoin``
-    of the minority rows with themselves (candidates within ``threshold`` in
-    standardised units; approximate by design), the k nearest kept per row.
-    Synthetic rows are ``x + u · (x_nn - x)`` with u a hash of (id, draw),
-    generated round-robin over each row's neighbours until the classes are
-    equal.  Returns the original rows plus the synthetic ones (``synthetic`` = 1)."""
+    Synthetic rows are ``x + u · (x_nn - x)`` with x_nn one of the k nearest
+    minority rows (``nearest_neighbours``) and u a hash of (id, draw), made
+    round-robin over each row's neighbours until the classes are equal.  Returns
+    the original rows plus the synthetic ones (``synthetic`` = 1).  Features must
+    not be null (fill them with the train medians); a minority of one row can't
+    be oversampled.  Both are errors."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     lab = counts.orderBy("_n", label).first()  # two-row table: the minority label
     minority, n_min = lab[0], lab[1]
-    n_maj = counts.agg(F.max("_n")).first()[0]
-    need = n_maj - n_min
-    if need <= 0 or n_min < 2:
+    need = counts.agg(F.max("_n")).first()[0] - n_min
+    if need <= 0:
         return df.withColumn("synthetic", F.lit(0))
-    pipe = Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(features), outputCol="raw_features", handleInvalid="skip"),
-            StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-        ]
-    )
+    if n_min < 2:
+        raise ValueError(f"class {minority!r} has {n_min} row(s): no neighbours to interpolate with")
     mino = df.where(F.col(label) == F.lit(minority))
-    scaled = pipe.fit(mino).transform(mino).select(id_col, "features", *features)
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=3, seed=seed)
-    lm = lsh.fit(scaled)
-    pairs = lm.approxSimilarityJoin(scaled, scaled, threshold, distCol="dist").select(
-        F.col(f"datasetA.{id_col}").alias("_a"), F.col(f"datasetB.{id_col}").alias("_b"), "dist"
-    ).where(F.col("_a") != F.col("_b"))
-    w = Window.partitionBy("_a").orderBy("dist", "_b")
-    nn = pairs.withColumn("_j", F.row_number().over(w) - 1).where(F.col("_j") < k)
+    nn = materialize(nearest_neighbours(mino, features, id_col, k, seed=seed))
     n_nb = nn.groupBy("_a").agg(F.count(F.lit(1)).alias("_m"))
-    per_row = math.ceil(need / n_min)
-    draws = df.sparkSession.range(per_row).select(F.col("id").cast("int").alias("_s"))
+    draws = df.sparkSession.range(math.ceil(need / n_min)).select(F.col("id").cast("int").alias("_s"))
     cand = n_nb.crossJoin(F.broadcast(draws)).withColumn("_j", F.pmod(F.col("_s"), F.col("_m")).cast("int"))
     cand = cand.join(nn, ["_a", "_j"]).withColumn("_ord", F.xxhash64(F.col("_a"), F.col("_s"), F.lit(seed)))
     ranked = row_positions(cand, ["_s", "_ord", "_a"], "_r").where(F.col("_r") <= need)

@@ -1,4 +1,4 @@
-"""Source / sink queries (S1, S3-S5, S7): every write goes under the cluster's
+"""Source / sink queries (S1, S3-S5): every write goes under the cluster's
 ``spark.checkpoint.dir`` and is read back, so the result shows what was stored."""
 
 from __future__ import annotations
@@ -55,9 +55,3 @@ def star_schema_export(spark, sf):
     base = scratch_path(spark, f"star/{uuid.uuid4().hex}")
     counts = write_star_schema(spark, sf, base)
     return spark.createDataFrame(sorted(counts.items()), "table string, rows bigint")
-
-
-@register("synthetic_profiles")
-def synthetic_profiles(spark, sf):
-    """One synthetic profile per customer (hash-seeded, reproducible)."""
-    return io.synthetic_profiles(load(spark, sf, "customer").select("c_custkey"), "c_custkey")

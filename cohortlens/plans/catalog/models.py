@@ -8,6 +8,7 @@ linear fit also has an exact SQL oracle (``regr_slope`` / ``regr_intercept``).
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import Imputer
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
@@ -32,19 +33,35 @@ FEATURES = [
 ]
 TARGET = "Overall_Test_Score_Avg"
 RISK = "at_risk"
-# model sizes (the notebooks use 200-500 trees; these keep the fixture runs short)
-RF_TREES, RF_DEPTH = 40, 8
-GBT_ITER, GBT_DEPTH, GBT_STEP = 40, 4, 0.1
+#: Model sizes and search grids of the analysed average-score pipeline.
+RF_TREES, RF_DEPTH = 200, 10
+GBT_ITER, GBT_DEPTH, GBT_STEP, GBT_SUBSAMPLE = 200, 5, 0.05, 0.8
+LASSO_GRID = [10 ** (-3 + 4 * i / 19) for i in range(20)]
+RIDGE_GRID = [10 ** (-3 + 6 * i / 19) for i in range(20)]
+REPEATS = 10
 
 
-def model_frame(spark, sf):
-    """Customers with a target, their features, a 0/1 risk label and a split."""
-    f = stage_features(spark, sf).where(F.col(TARGET).isNotNull())
+def gbt_regressor(**more):
+    return GBTRegressor(maxIter=GBT_ITER, maxDepth=GBT_DEPTH, stepSize=GBT_STEP, subsamplingRate=GBT_SUBSAMPLE, seed=42, **more)
+
+
+def gbt_classifier(**more):
+    return GBTClassifier(maxIter=GBT_ITER, maxDepth=GBT_DEPTH, stepSize=GBT_STEP, subsamplingRate=GBT_SUBSAMPLE, seed=42, **more)
+
+
+def score_frame(spark, sf):
+    """Every customer: features, target (null where it has none), risk label, split."""
+    f = stage_features(spark, sf)
     f = f.select("c_custkey", *[F.col(c).cast("double").alias(c) for c in FEATURES], TARGET)
     f = f.withColumn(RISK, (F.col(TARGET) < 50).cast("int"))
     # the feature plan (wide pivot, 480 row-wise expressions) is cut here: the
     # estimators below scan it many times
-    return materialize(sp.hash_split(f, "c_custkey", 0.2))
+    return materialize(sp.hash_split(f, "c_custkey", 0.2).hint("rebalance"))  # few rows: few partitions
+
+
+def model_frame(spark, sf):
+    """The customers of ``score_frame`` that have a target: models are fitted on these."""
+    return score_frame(spark, sf).where(F.col(TARGET).isNotNull())
 
 
 def _split(spark, sf):
@@ -52,6 +69,12 @@ def _split(spark, sf):
     return d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
 
 
+def _filled(train, *frames):
+    """Frames with nulls of the features filled with the train medians."""
+    imputer = Imputer(inputCols=FEATURES, outputCols=FEATURES, strategy="median").fit(train)
+    return [imputer.transform(f) for f in frames]
+
+
 # ---------------------------------------------------------------- L1
 @register(
     "linear_regression",
@@ -76,9 +99,8 @@ def linear_regression(spark, sf):
 def regularised_cv(spark, sf):
     """Lasso and ridge over a log-spaced regParam grid, 5 folds (fold column from the id hash)."""
     d = sp.kfold(model_frame(spark, sf), "c_custkey", 5)
-    grid = [float(x) for x in (0.001, 0.01, 0.1, 1.0)]
-    lasso = ml.cross_validate(d, FEATURES, TARGET, LinearRegression(elasticNetParam=1.0), {"regParam": grid}, "fold")
-    ridge = ml.cross_validate(d, FEATURES, TARGET, LinearRegression(elasticNetParam=0.0), {"regParam": grid}, "fold")
+    lasso = ml.cross_validate(d, FEATURES, TARGET, LinearRegression(elasticNetParam=1.0), {"regParam": LASSO_GRID}, "fold")
+    ridge = ml.cross_validate(d, FEATURES, TARGET, LinearRegression(elasticNetParam=0.0), {"regParam": RIDGE_GRID}, "fold")
     return lasso.withColumn("model", F.lit("lasso")).unionByName(ridge.withColumn("model", F.lit("ridge")))
 
 
@@ -86,7 +108,7 @@ def regularised_cv(spark, sf):
 def cv_scores(spark, sf):
     """5-fold CV R² (mean ± std) of the GBT, the test R² and the generalisation label."""
     train, test = _split(spark, sf)
-    est = GBTRegressor(maxIter=GBT_ITER, maxDepth=GBT_DEPTH, stepSize=GBT_STEP, seed=42)
+    est = gbt_regressor()
     cv = ml.cross_validate(sp.kfold(train, "c_custkey", 5), FEATURES, TARGET, est, None, "fold")
     model = ml.assemble_model(FEATURES, est.setLabelCol(TARGET).setFeaturesCol("features")).fit(train)
     tr = stats.regression_metrics(model.transform(train), TARGET, "prediction").select(F.col("r2").alias("train_r2"))
@@ -100,7 +122,7 @@ def _regressors():
     return {
         "linear": LinearRegression(),
         "random_forest": RandomForestRegressor(numTrees=RF_TREES, maxDepth=RF_DEPTH, seed=42),
-        "gradient_boosting": GBTRegressor(maxIter=GBT_ITER, maxDepth=GBT_DEPTH, stepSize=GBT_STEP, seed=42),
+        "gradient_boosting": gbt_regressor(),
     }
 
 
@@ -114,11 +136,15 @@ def rf_gbt_compare(spark, sf):
 # ---------------------------------------------------------------- L5
 @register("classifier_compare")
 def classifier_compare(spark, sf):
-    train, test = _split(spark, sf)
+    """Risk classifiers fitted on the stratified, SMOTE-balanced train rows."""
+    d = model_frame(spark, sf).withColumn("_order", sp.hash_order("c_custkey"))
+    d = sp.stratified_split(d.drop("split"), RISK, ["_order", "c_custkey"], 0.2).drop("_order")
+    train, test = _filled(d.where("split = 'train'"), d.where("split = 'train'"), d.where("split = 'test'"))
+    train = materialize(ml.smote(train, FEATURES, RISK, "c_custkey"))
     ests = {
         "logistic": LogisticRegression(maxIter=100),
         "random_forest": RandomForestClassifier(numTrees=RF_TREES, maxDepth=RF_DEPTH, seed=42),
-        "gradient_boosting": GBTClassifier(maxIter=GBT_ITER, maxDepth=GBT_DEPTH, stepSize=GBT_STEP, seed=42),
+        "gradient_boosting": gbt_classifier(),
     }
     table, _ = ml.classifier_compare(train, test, FEATURES, RISK, ests)
     return finish(table)
@@ -129,7 +155,7 @@ def classifier_compare(spark, sf):
 def smote(spark, sf):
     """Train split oversampled to balanced risk classes; returns class sizes."""
     train, _ = _split(spark, sf)
-    filled = train.fillna(0.0, subset=FEATURES)
+    (filled,) = _filled(train, train)
     bal = ml.smote(filled, FEATURES, RISK, "c_custkey")
     return bal.groupBy(RISK, "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
@@ -147,9 +173,9 @@ def importance(spark, sf):
 @register("permutation_importance")
 def permutation_importance(spark, sf):
     train, test = _split(spark, sf)
-    est = GBTRegressor(maxIter=GBT_ITER, maxDepth=GBT_DEPTH, stepSize=GBT_STEP, seed=42, labelCol=TARGET, featuresCol="features")
+    est = gbt_regressor(labelCol=TARGET, featuresCol="features")
     model = ml.assemble_model(FEATURES, est).fit(train)
-    return finish(ml.permutation_importance(model, test, "c_custkey", FEATURES, TARGET, repeats=3))
+    return finish(ml.permutation_importance(model, test, "c_custkey", FEATURES, TARGET, repeats=REPEATS))
 
 
 # ---------------------------------------------------------------- L10
@@ -188,10 +214,10 @@ def blend(spark, sf):
     """Blend .5/.3/.2 of GBT, RF and linear predictions, with test metrics of each and of the blend."""
     train, test = _split(spark, sf)
     _, fitted = ml.train_compare(train, test, FEATURES, TARGET, _regressors())
-    scored = test.select("c_custkey", TARGET, *FEATURES)
-    for name in ("gradient_boosting", "random_forest", "linear"):
-        p = fitted[name].transform(test).select("c_custkey", F.col("prediction").alias(f"p_{name}"))
-        scored = scored.join(p, "c_custkey")
+    scored, keep = test, test.columns
+    for name in ("gradient_boosting", "random_forest", "linear"):  # chained on the same rows: no join
+        keep = [*keep, f"p_{name}"]
+        scored = fitted[name].transform(scored).withColumnRenamed("prediction", f"p_{name}").select(*keep)
     b = ml.blend(scored, {"p_gradient_boosting": 0.5, "p_random_forest": 0.3, "p_linear": 0.2})
     out = None
     for c in ("p_gradient_boosting", "p_random_forest", "p_linear", "blend"):
@@ -204,6 +230,6 @@ def blend(spark, sf):
 @register("save_reload_check")
 def save_reload_check(spark, sf):
     train, test = _split(spark, sf)
-    model = ml.assemble_model(FEATURES, GBTRegressor(maxIter=10, maxDepth=3, seed=42, labelCol=TARGET, featuresCol="features")).fit(train)
+    model = ml.assemble_model(FEATURES, gbt_regressor(labelCol=TARGET, featuresCol="features")).fit(train)
     path = scratch_path(spark, f"models/gbt_{abs(hash(sf)) % 10**8}")
     return finish(ml.save_reload_check(model, test, path, "c_custkey"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from cohortlens.functions.mathx import clip
@@ -13,7 +11,7 @@ from cohortlens.operators import numeric as num
 from cohortlens.operators import rules
 from cohortlens.plans import fixtures as fx
 from cohortlens.plans.catalog.encode import _fallback_sql
-from cohortlens.plans.catalog.models import FEATURES, GBT_DEPTH, GBT_ITER, GBT_STEP, RISK, TARGET, model_frame
+from cohortlens.plans.catalog.models import FEATURES, RISK, TARGET, gbt_classifier, gbt_regressor, score_frame
 from cohortlens.plans.catalog.reshape import stage_features, stage_features_sql
 from cohortlens.plans.registry import finish, register
 
@@ -136,9 +134,15 @@ def risk_contributions(spark, sf):
 
 
 # ---------------------------------------------------------------- L20
+#: The Yes/No answer of the textbook rule: whether half of the textbooks or more are there.
+TEXTBOOK_ANSWER = (
+    "CASE WHEN Overall_Textbook_Access_Composite >= 0.5 THEN 'Yes' WHEN Overall_Textbook_Access_Composite < 0.5 THEN 'No' END"
+)
+
+
 def _improve_sql() -> str:
     items = ", ".join(
-        f"CASE WHEN {_test_sql(r if r != 'textbook_yes_no' else 'internet', op, a) if r != 'textbook_yes_no' else 'false'} THEN '{t} (+{imp})' END"
+        f"CASE WHEN {_test_sql(r, op, a) if r != 'textbook_yes_no' else TEXTBOOK_ANSWER + f' = {_lit(a)}'} THEN '{t} (+{imp})' END"
         for r, op, a, t, imp in rules.IMPROVEMENTS
     )
     return f"array_to_string(list_slice(list_filter([{items}], lambda x: x IS NOT NULL), 1, {rules.MAX_IMPROVEMENTS}), ' | ')"
@@ -155,10 +159,10 @@ def _status_sql() -> str:
     sql=BASE_SQL + f"SELECT c_custkey, {_improve_sql()} AS improvements, {_status_sql()} AS status FROM base",
 )
 def improvements(spark, sf):
-    """The textbook rule tests a Yes/No answer; the composite share here is
-    numeric, so that rule does not fire (as with a numeric input in the app)."""
-    d = score_inputs(spark, sf)
-    imp = rules.improvements(ROLES)
+    """Improvement actions and factor status; the textbook rule tests a Yes/No
+    answer, made from the composite share."""
+    d = score_inputs(spark, sf).withColumn("textbook_answer", F.expr(TEXTBOOK_ANSWER))
+    imp = rules.improvements({**ROLES, "textbook_yes_no": "textbook_answer"})
     text = F.transform(imp, lambda s: F.concat(s["action"], F.lit(" (+"), s["impact"].cast("string"), F.lit(")")))
     st = F.transform(rules.status_table(ROLES), lambda s: F.concat(s["factor"], F.lit(": "), s["status"]))
     return d.select("c_custkey", F.array_join(text, " | ").alias("improvements"), F.array_join(st, " | ").alias("status"))
@@ -211,13 +215,12 @@ def scenario_delta(spark, sf):
 def batch_score(spark, sf):
     """Trained score and risk models applied to every customer (not a sample):
     predicted score clipped to 0-100, risk probability, status, cause summary."""
-    d = model_frame(spark, sf)
-    train = d.where(F.col("split") == "train")
-    reg = ml.assemble_model(FEATURES, GBTRegressor(maxIter=GBT_ITER, maxDepth=GBT_DEPTH, stepSize=GBT_STEP, seed=42, labelCol=TARGET, featuresCol="features")).fit(train)
-    clf = ml.assemble_model(FEATURES, GBTClassifier(maxIter=GBT_ITER, maxDepth=GBT_DEPTH, stepSize=GBT_STEP, seed=42, labelCol=RISK, featuresCol="features")).fit(train)
+    d = score_frame(spark, sf)  # customers without a target too: the stored medians stand in for absent features
+    train = d.where((F.col("split") == "train") & F.col(TARGET).isNotNull())
+    reg = ml.assemble_model(FEATURES, gbt_regressor(labelCol=TARGET, featuresCol="features")).fit(train)
+    clf = ml.assemble_model(FEATURES, gbt_classifier(labelCol=RISK, featuresCol="features")).fit(train)
     s = reg.transform(d).select("c_custkey", *FEATURES, clip("prediction", 0.0, 100.0).alias("predicted_score"))
-    p = clf.transform(d).select("c_custkey", vector_to_array("probability")[1].alias("risk_probability"))
-    j = s.join(p, "c_custkey")
+    j = clf.transform(s).withColumn("risk_probability", vector_to_array("probability")[1])
     is_risk = F.col("risk_probability") >= 0.5
     roles = {"attendance": "Overall_Avg_Attendance", "homework": "Overall_Avg_Homework", "participation": "Overall_Avg_Participation", "textbook": "Overall_Textbook_Access_Composite"}
     return finish(

@@ -1,4 +1,4 @@
-"""Scans and sinks (S1, S3-S6) and the synthetic profile generator."""
+"""Scans and sinks."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import os
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -46,63 +45,3 @@ def export_selected(df: DataFrame, columns: Sequence[str], path: str, fmt: str =
     """The chosen columns (those present) of the full dataset."""
     keep = [c for c in columns if c in df.columns]
     return write_table(df.select(*keep), path, fmt)
-
-
-def _uniform(id_col: str, k: int, seed: int):
-    """Deterministic U(0,1) from the id: stable under retries and repartitioning."""
-    return (F.pmod(F.xxhash64(F.col(id_col), F.lit(k), F.lit(seed)), F.lit(2**31 - 1)) + 1) / F.lit(float(2**31))
-
-
-def synthetic_profiles(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
-    """One synthetic profile per input id -- the dashboards' sample
-    generator (normal(60, 15) clipped to 0-100, uniform ranges, categorical
-    draws) re-expressed as per-row hashes of the id, so the output is the same
-    under retries, repartitioning and any scale."""
-    u = lambda k: _uniform(id_col, k, seed)
-    normal = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * 3.141592653589793 * u(2))
-
-    # FIXED VALUES: the generator's value lists, ranges and weights
-    regions = ["Addis Ababa", "Oromia", "Amhara", "Tigray", "SNNP", "Somali",
-               "Afar", "Benishangul-Gumuz", "Sidama", "Gambela", "Harari",
-               "Dire Dawa", "South West Ethiopia"]
-    education = ["Unknown", "Primary", "High School", "College", "University"]
-    health = [("No Issue", 0.6), ("Minor", 0.2), ("Moderate", 0.15), ("Severe", 0.05)]
-
-    def pick(values, k):
-        arr = F.array(*[F.lit(v) for v in values])
-        return F.element_at(arr, (F.floor(u(k) * len(values)) + 1).cast("int"))
-
-    def pick_weighted(pairs, k):
-        expr, acc = None, 0.0
-        for v, p in pairs[:-1]:
-            acc += p
-            expr = F.when(u(k) < acc, F.lit(v)) if expr is None else expr.when(u(k) < acc, F.lit(v))
-        return expr.otherwise(F.lit(pairs[-1][0]))
-
-    def uniform(lo, hi, k):
-        return F.lit(lo) + F.lit(hi - lo) * u(k)
-
-    return df.select(
-        F.col(id_col).alias("Student_ID"),
-        F.greatest(F.lit(0.0), F.least(F.lit(100.0), 60 + 15 * normal)).alias("Overall_Average"),
-        pick(regions, 3).alias("Region"),
-        pick(["Male", "Female"], 4).alias("Gender"),
-        (15 + F.floor(u(5) * 7)).cast("int").alias("Age"),
-        uniform(0.2, 0.9, 6).alias("School_Resources_Score"),
-        uniform(0.3, 0.9, 7).alias("School_Academic_Score"),
-        uniform(0.1, 0.9, 8).alias("Parental_Involvement"),
-        uniform(50, 100, 9).alias("Overall_Avg_Attendance"),
-        uniform(40, 100, 10).alias("Overall_Avg_Homework"),
-        uniform(40, 100, 11).alias("Overall_Avg_Participation"),
-        uniform(0.2, 0.9, 12).alias("Overall_Textbook_Access_Composite"),
-        uniform(20, 60, 13).alias("Teacher_Student_Ratio"),
-        pick_weighted(health, 14).alias("Health_Issue"),
-        pick(["Yes", "No"], 15).alias("Home_Internet_Access"),
-        pick(["Yes", "No"], 16).alias("Electricity_Access"),
-        pick(["Urban", "Rural"], 17).alias("School_Location"),
-        pick(["Social", "Natural"], 18).alias("Field_Choice"),
-        pick(["Teacher", "Doctor", "Engineer", "Farmer", "Business"], 19).alias("Career_Interest"),
-        pick(education, 20).alias("Father_Education"),
-        pick(education, 21).alias("Mother_Education"),
-        pick(["Public", "Private", "NGO-operated"], 22).alias("School_Type"),
-    )

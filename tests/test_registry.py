@@ -11,7 +11,7 @@ from cohortlens.sources.tables import TABLES
 ROWS_ONLY = {
     "yeo_johnson_fit", "regularised_cv", "cv_scores", "rf_gbt_compare", "classifier_compare", "smote",
     "importance", "permutation_importance", "linear_attribution", "kmeans_profile", "pca_projection",
-    "engagement_pca", "blend", "save_reload_check", "batch_score", "synthetic_profiles",
+    "engagement_pca", "blend", "save_reload_check", "batch_score",
 }
 
 

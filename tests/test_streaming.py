@@ -2,7 +2,8 @@ import os
 import tempfile
 import uuid
 
-from cohortlens.sources.io import synthetic_profiles
+from pyspark.sql import functions as F
+
 from cohortlens.sources.tables import load
 from cohortlens.streaming import score_stream
 
@@ -18,7 +19,13 @@ ROLES = {
 
 def test_stream_scores_every_arriving_row(spark, sf_small):
     src = tempfile.mkdtemp(prefix="stream-src-")
-    prof = synthetic_profiles(load(spark, sf_small, "customer").select("c_custkey"), "c_custkey")
+    share = F.pmod(F.col("c_acctbal"), F.lit(100.0))
+    prof = load(spark, sf_small, "customer").select(
+        F.col("c_custkey").alias("Student_ID"),
+        *[share.alias(ROLES[r]) for r in ("attendance", "homework", "participation")],
+        *[(share / 100).alias(ROLES[r]) for r in ("resources", "textbook")],
+        (20 + share / 2).alias(ROLES["ratio"]),
+    )
     prof.write.mode("overwrite").parquet(os.path.join(src, "batch1"))
     name = f"scored_{uuid.uuid4().hex[:8]}"
     q = score_stream(spark, os.path.join(src, "batch1"), prof.schema, "Student_ID", ROLES, sink="memory", query_name=name)
