@@ -70,6 +70,12 @@ def log_skewed(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None,
     ).drop(*sk.columns)
 
 
+def expm1_back(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """T3 inverse: ``expm1`` of columns on the log1p scale (predictions of a
+    model fitted on a log1p target)."""
+    return df.withColumns({c: F.expm1(_q(c)) for c in cols})
+
+
 def yeo_johnson_expr(x: Column, lam: Column | float) -> Column:
     """T5: the Yeo-Johnson transform of x for λ (Column or constant)."""
     lam = F.lit(lam) if not isinstance(lam, Column) else lam

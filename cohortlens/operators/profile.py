@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.mathx import sample_skewness
 from cohortlens.operators.quantiles import quantiles
-from cohortlens.operators.sizing import one_row
+from cohortlens.operators.sizing import broadcast_if_small, one_row
 
 
 def _q(c: str) -> Column:
@@ -166,7 +166,7 @@ def box_stats(df: DataFrame, value: str, group: str, k: float = 1.5) -> DataFram
     ``[q1 - k IQR, q3 + k IQR]``), mean, sample std, outlier count."""
     d = df.where(F.col(group).isNotNull() & _q(value).isNotNull()).select(group, _q(value).cast("double").alias("v"))
     qs = quantiles(d, "v", [0.25, 0.5, 0.75], [group], ["q1", "median", "q3"])
-    j = d.join(qs, group)
+    j = d.join(broadcast_if_small(qs), group)  # one row per group; AQE splits a hot one otherwise
     iqr = F.col("q3") - F.col("q1")
     lo_f = F.col("q1") - k * iqr
     hi_f = F.col("q3") + k * iqr

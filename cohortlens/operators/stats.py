@@ -210,6 +210,30 @@ def regression_metrics(df: DataFrame, label: str, prediction: str, groups: Seque
     )
 
 
+def log_scale_metrics(df: DataFrame, label: str, log_prediction: str, probs: Sequence[float] = (0.5, 0.75, 0.9, 0.95)) -> DataFrame:
+    """A29 on a log1p target: R² and RMSE on the log scale; on the original scale
+    (prediction back by ``expm1``) R², MAE, RMSE, mean and std of the error, and
+    quantiles of its absolute value (``abs_error_p<..>``).  One row."""
+    y, lp = F.col(label).cast("double"), F.col(log_prediction).cast("double")
+    d = df.where(y.isNotNull() & lp.isNotNull()).select(y.alias("y"), F.log1p(y).alias("ly"), lp.alias("lp"), F.expm1(lp).alias("yp"))
+    err = F.col("y") - F.col("yp")
+    n = F.count(F.lit(1))
+    agg = d.agg(
+        n.alias("n"),
+        (1 - F.sum((F.col("ly") - F.col("lp")) ** 2) / (F.var_pop("ly") * n)).alias("r2_log"),
+        F.sqrt(F.avg((F.col("ly") - F.col("lp")) ** 2)).alias("rmse_log"),
+        (1 - F.sum(err**2) / (F.var_pop("y") * n)).alias("r2"),
+        F.avg(F.abs(err)).alias("mae"),
+        F.sqrt(F.avg(err**2)).alias("rmse"),
+        F.avg(err).alias("error_mean"),
+        F.stddev_samp(err).alias("error_std"),
+    )
+    from cohortlens.operators.quantiles import quantiles
+
+    qs = quantiles(d.select(F.abs(err).alias("e")), "e", list(probs), names=[f"abs_error_p{round(p * 100)}" for p in probs])
+    return agg.crossJoin(F.broadcast(qs))  # one row each
+
+
 def generalisation_label(gap: str = "gap") -> "F.Column":
     """|test − CV| < .01 excellent, < .05 good, else check for overfitting."""
     g = F.abs(F.col(gap))

@@ -193,3 +193,27 @@ def regional_risk(spark, sf):
     op = fx.order_people(spark, sf)
     ranked = segments.rank_labels(load(spark, sf, "orders"), "o_orderstatus", "o_totalprice")
     return finish(segments.group_label_rate(segments.label_rows(op, ranked, "o_orderstatus"), "r_name", "cluster_label"))
+
+
+# ---------------------------------------------------------------- T3 / A29
+@register(
+    "regression_metrics_log",
+    sql="""WITH x AS (SELECT l_quantity AS q, l_extendedprice AS y, ln(1 + l_extendedprice) AS ly FROM lineitem
+           WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL),
+m AS (SELECT regr_slope(ly, q) AS s, regr_intercept(ly, q) AS i FROM x),
+p AS (SELECT y, ly, i + s * q AS lp, y - (exp(i + s * q) - 1) AS err FROM x, m)
+SELECT count(*) AS n, round(1 - sum((ly - lp) ^ 2) / (var_pop(ly) * count(*)), 2) AS r2_log, round(sqrt(avg((ly - lp) ^ 2)), 2) AS rmse_log,
+       round(1 - sum(err ^ 2) / (var_pop(y) * count(*)), 2) AS r2, round(avg(abs(err)), 2) AS mae, round(sqrt(avg(err ^ 2)), 2) AS rmse,
+       round(avg(err), 2) AS error_mean, round(stddev_samp(err), 2) AS error_std,
+       round(quantile_cont(abs(err), 0.5), 2) AS abs_error_p50, round(quantile_cont(abs(err), 0.75), 2) AS abs_error_p75,
+       round(quantile_cont(abs(err), 0.9), 2) AS abs_error_p90, round(quantile_cont(abs(err), 0.95), 2) AS abs_error_p95 FROM p""",
+)
+def regression_metrics_log(spark, sf):
+    """A linear model of a log1p target, measured on the log and the original scale."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    li = load(spark, sf, "lineitem").select("l_quantity", "l_extendedprice").dropna()
+    d = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(li.withColumn("ly", F.log1p("l_extendedprice")))
+    m = LinearRegression(labelCol="ly", solver="normal", regParam=0.0, predictionCol="lp").fit(d)
+    return finish(stats.log_scale_metrics(m.transform(d), "l_extendedprice", "lp"), 2)
