@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.scratch import stored
+from cohortlens.llm.scratch import ship, stored
 
 #: Costs of a relabelled turn (by how much its text is one), a merge and an empty turn.
 RELABEL, MERGE, INSERT = 1.0, 0.4, 0.7
@@ -247,6 +247,7 @@ def repair(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn
     null, empty and unknown roles are relabelled.  Rows with a null conversation
     are left out.  An empty table gives no rows; extra columns are ignored.
     """
+    ship(conversations.sparkSession)
     dealt = _deal(conversations, conv_id, turn, role, text)
     runs = _by_range(dealt.select("conv_id", "part", "seq", "role")).mapInArrow(_reduce, "conv_id bigint, part int, m array<double>")
     plans = stored(runs.groupBy("conv_id").applyInPandas(_plan, "conv_id bigint, part int, first int, last int, closes boolean"))

@@ -8,11 +8,17 @@ written (the step can always be read again from its table).
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+import zipfile
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+import cohortlens
 from cohortlens.session import ensure_checkpoint_dir
 
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -31,6 +37,23 @@ def _setting(spark: SparkSession, key: str, value: str):
             spark.conf.set(key, before)
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application.
+    The archive is served by the driver; no executor reads the driver's folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_cohortlens_shipped", False):
+        return
+    root = Path(cohortlens.__file__).parent
+    folder = tempfile.mkdtemp(prefix="cohortlens-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/cohortlens-code.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(Path(root.name) / f.relative_to(root)))
+    sc.addPyFile(archive)
+    sc._cohortlens_shipped = True
+
+
 def scratch_table(spark: SparkSession) -> str:
     """A fresh path in the shared checkpoint folder, one folder per application."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.pretokens import WorkerCache, pretokenizer
+from cohortlens.llm.scratch import ship
 
 #: Entries of the broadcast table, documents it is taken from, entries of a worker's cache.
 TABLE_SIZE, SAMPLE_DOCS, CACHE_SIZE = 65_536, 20_000, 400_000
@@ -82,6 +83,7 @@ def token_counts(
     columns of ``docs`` are ignored whatever their names.
     """
     spark = docs.sparkSession
+    ship(spark)
     table = spark.sparkContext.broadcast(frequent_pretokens(docs, path, text, table_size))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

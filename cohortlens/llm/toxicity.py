@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.scratch import stored
+from cohortlens.llm.scratch import ship, stored
 from cohortlens.llm.shingles import BASE, INVERSE, chunks, mix, powers
 
 #: Labelled rows the model is fitted on at most, hash buckets, factors, passes over the sample.
@@ -220,6 +220,7 @@ def score_documents(
     larger label.  Without any label every score is 0.5 and so predicted 1;
     an empty table gives no rows; other columns are ignored.
     """
+    ship(docs.sparkSession)
     read = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = labels.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label"))
     model = docs.sparkSession.sparkContext.broadcast(train(read, known, folds, sample_rows))
