@@ -9,9 +9,11 @@ shingle sequences: similarity = aligned shingles / shingles of the longer text.
 The band is as wide as the threshold allows, so it loses nothing.
 
 Work on groups of near copies is linear, not quadratic: a bucket's documents
-are first compared with its smallest one; only those that did not end up in its
-component are compared with the others.  Components are the same as if all
-candidate pairs had been verified.
+are first compared with its smallest one; those that did not end up in its
+component are compared with a few more, and only those still apart with all others.  Buckets of documents that merely share
+a common passage are sieved by the prefix principle first: two documents can
+only be similar if the rarest fifth of their shingles meet.  Components are the
+same as if all candidate pairs had been verified.
 """
 
 from __future__ import annotations
@@ -21,15 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.llm.components import connected_components
-from cohortlens.llm.scratch import stored
+from cohortlens.llm.scratch import ship, stored
 from cohortlens.llm.shingles import chunks, label_occurrences, mix, shingles, words
 
 #: Words of a shingle, shingles of a sketch, sketches of a document, least similarity of a link.
 SHINGLE, ELL, SKETCHES, THRESHOLD = 5, 3, 16, 0.8
+#: Members of a bucket up to which its pairs need no sieve, further heads of larger ones.
+FEW, HEADS = 8, 8
 #: Most ids that are broadcast to pick the texts to verify (16 MB).
 BROADCAST_IDS = 2_000_000
 
@@ -134,13 +138,14 @@ def aligned(a: np.ndarray, b: np.ndarray, least: int) -> int:
     return len(tails)
 
 
-def _texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The documents that occur in ``pairs``.  Their ids are broadcast if they
-    are at most ``BROADCAST_IDS``; beyond that the documents are shuffled."""
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def _texts_of(ids: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
+    """The documents whose ids occur in ``columns`` of ``ids``.  These are
+    broadcast if at most ``BROADCAST_IDS``; beyond that documents are shuffled."""
+    each = [ids.select(F.col(c).alias("doc_id")) for c in columns]
+    wanted = stored((each[0] if len(each) == 1 else each[0].unionByName(each[1])).distinct())
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    return docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def verify_pairs(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -163,7 +168,7 @@ def verify_pairs(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFra
                 yield out.filter(pa.array(sim >= 0))
 
     pairs = stored(pairs)
-    texts = _texts_of(pairs, docs)
+    texts = _texts_of(pairs, docs, "a", "b")
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     return both.select("a", "ta", "b", "tb").mapInArrow(verify, "a bigint, b bigint, similarity double")
@@ -173,7 +178,7 @@ def _lengths_fit(x: str, y: str, threshold: float):
     return F.least(x, y) >= F.ceil(F.greatest(x, y) * threshold - 1e-9)
 
 
-def candidate_links(buckets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def candidate_links(buckets: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Verified links that connect what all candidate pairs of ``buckets``
     (key, rep, n) would connect."""
     size = F.count(F.lit(1)).alias("members")
@@ -181,19 +186,86 @@ def candidate_links(buckets: DataFrame, texts: DataFrame, threshold: float) -> D
     members = stored(buckets.join(heads, "key").select("key", "rep", "n", "head", "members"))
     head_n = members.where("rep = head").select("key", F.col("n").alias("head_n"))
     spokes = members.where("rep <> head").join(head_n, "key").where(_lengths_fit("n", "head_n", threshold))
-    star = stored(verify_pairs(spokes.select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), texts, threshold))
-    joined = connected_components(star)
-    comp = joined.select(F.col("vertex").alias("rep"), "component")
-    placed = members.where("members > 2").join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = stored(placed.join(comp.select(F.col("rep").alias("head"), F.col("component").alias("hc")), "head", "left"))
-    placed = placed.withColumn("hc", F.coalesce("hc", "head"))
-    loose = placed.where("rep <> head AND component <> hc").select("key", "rep", "n", "component")
-    other = placed.where("rep <> head").select("key", F.col("rep").alias("o"), F.col("n").alias("on"), F.col("component").alias("oc"), "hc")
-    # pairs of two loose documents come from either side: keep the smaller first
-    pair = loose.join(other, "key").where((F.col("component") != F.col("oc")) & _lengths_fit("n", "on", threshold))
-    pair = pair.where((F.col("oc") == F.col("hc")) | (F.col("rep") < F.col("o")))
-    rest = pair.select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b")).distinct()
-    return star.unionByName(verify_pairs(rest, texts, threshold))
+    star = stored(verify_pairs(spokes.select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), docs, threshold))
+    placed = _placed(members, star)
+    mixed = _mixed(placed)
+    if mixed.limit(1).count():
+        pairs = _further_heads(mixed, threshold)
+        star = stored(star.unionByName(verify_pairs(pairs, docs, threshold)))
+        placed = _placed(members, star)
+        mixed = _mixed(placed)
+    few = placed.where(F.col("members") <= FEW)
+    pairs = _loose_pairs(few, few, "key", threshold)
+    each = stored(mixed.groupBy("rep", "n", "component").agg(F.max("loose").alias("loose")))
+    if each.limit(1).count():
+        pairs = pairs.unionByName(_sieved_pairs(each, docs, threshold))
+    return star.unionByName(verify_pairs(pairs.distinct(), docs, threshold))
+
+
+def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of buckets but for the heads, with their component and whether
+    they are loose: not in the component of the bucket's head."""
+    comp = stored(connected_components(links)).select(F.col("vertex").alias("rep"), "component")
+    placed = members.where("members > 2 AND rep <> head").join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = placed.join(comp.select(F.col("rep").alias("head"), F.col("component").alias("hc")), "head", "left")
+    return stored(placed.withColumn("loose", F.col("component") != F.coalesce("hc", "head")).drop("hc"))
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Members of larger buckets that have loose ones."""
+    keys = placed.where("loose").select("key").distinct()
+    return stored(placed.where(F.col("members") > FEW).join(keys, "key", "left_semi"))
+
+
+def _further_heads(mixed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of the loose members and a few more heads of their bucket: those
+    with the least hashes, so that buckets of the same documents share them.  In
+    a group of near copies nearly every member is similar to one of them."""
+    heads = mixed.groupBy("key").agg(*[F.min_by("rep", F.xxhash64("rep", F.lit(s))).alias(f"h{s}") for s in range(HEADS)])
+    heads = heads.select("key", F.explode(F.array_distinct(F.array(*[F.col(f"h{s}") for s in range(HEADS)]))).alias("o"))
+    known = mixed.select(F.col("rep").alias("o"), F.col("n").alias("on"), F.col("component").alias("oc")).distinct()
+    pair = mixed.where("loose").select("key", "rep", "n", "component").join(heads, "key").join(known, "o")
+    pair = pair.where((F.col("component") != F.col("oc")) & _lengths_fit("n", "on", threshold))
+    return pair.select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b")).distinct()
+
+
+def _loose_pairs(x: DataFrame, y: DataFrame, key: str, threshold: float) -> DataFrame:
+    """Pairs (a, b) of a loose member of ``x`` and a member of ``y`` with the
+    same key, of different components and fitting lengths."""
+    other = y.select(key, F.col("rep").alias("o"), F.col("n").alias("on"), F.col("component").alias("oc"))
+    pair = x.where("loose").select(key, "rep", "n", "component").join(other, key)
+    pair = pair.where((F.col("component") != F.col("oc")) & _lengths_fit("n", "on", threshold))
+    return pair.select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b"))
+
+
+def _sieved_pairs(members: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of ``members`` (rep, n, component, loose) that can be similar.
+
+    Similar documents share at least ceil(threshold * n) shingles, so they meet
+    in the n - ceil(threshold * n) + 1 rarest of each.  Shingles of one member
+    only meet nothing; they fill the prefix first and then drop out, so what is
+    left are members nearly all of whose shingles occur elsewhere too."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                seq = _sequences(dict(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)))
+                reps = np.repeat(np.array(list(seq), np.int64), [len(v) for v in seq.values()])
+                all_ = np.concatenate(list(seq.values())) if seq else np.zeros(0, _U)
+                yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(all_.view(np.int64))], names=["rep", "shingle"])
+
+    texts = _texts_of(members.select("rep"), docs, "rep").select("doc_id", "text")
+    each = stored(texts.mapInArrow(explode, "rep bigint, shingle bigint"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = stored(each.join(often, "shingle"))
+    need = F.ceil(F.col("n") * threshold - 1e-9)
+    room = shared.groupBy("rep").agg(F.count(F.lit(1)).alias("in_common")).join(members, "rep")
+    room = room.withColumn("room", F.col("in_common") - need + 1).where("room > 0")
+    rarest = Window.partitionBy("rep").orderBy("df", "shingle")
+    prefix = shared.join(room, "rep").withColumn("_no", F.row_number().over(rarest)).where("_no <= room")
+    prefix = stored(prefix.select("shingle", "rep", "n", "component", "loose"))
+    return _loose_pairs(prefix, prefix, "shingle", threshold)
 
 
 def near_duplicates(
@@ -213,6 +285,7 @@ def near_duplicates(
     rows give repeated result rows.  An empty table gives no rows; other
     columns of ``docs`` are ignored.
     """
+    ship(docs.sparkSession)
     read = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
     sketched = stored(sketch_documents(read, sketches, ell))
     worded = sketched.where("n > 0")

@@ -94,7 +94,7 @@ def label_occurrences(hashes: np.ndarray, start: np.ndarray) -> np.ndarray:
     return mix(hashes + occurrence * _U(0xA0761D6478BD642F))
 
 
-def chunks(texts: Sequence[str | None], most: int = 2_000_000) -> Iterator[tuple[int, Sequence[str | None]]]:
+def chunks(texts: Sequence[str | None], most: int = 800_000) -> Iterator[tuple[int, Sequence[str | None]]]:
     """Runs of texts of about ``most`` characters (a longer text is its own run)."""
     at = size = 0
     for i, t in enumerate(texts):

@@ -119,3 +119,23 @@ def test_documents_recall(spark, sf_small):
 def test_small_tables(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert near_duplicates(docs).count() == len(rows)
+
+
+def test_common_passages_and_near_copies_in_large_buckets(spark, monkeypatch):
+    """The sieve loses no link that all pairs of a bucket would give."""
+    import cohortlens.llm.order_minhash as m
+
+    rnd = random.Random(8)
+    passage = [f"p{i}" for i in range(45)]
+    texts = {}
+    for i in range(40):  # strangers that share a passage, more or less of the text
+        own = [f"o{rnd.randrange(10**6)}" for _ in range(rnd.choice([4, 9, 20, 60]))]
+        texts[i] = " ".join(own[: len(own) // 2] + passage + own[len(own) // 2 :])
+    base = [f"b{i}" for i in range(120)]
+    for i in range(30):
+        texts[100 + i] = _edited(rnd, base, rnd.randrange(0, 9))
+    want = _brute(texts)
+    monkeypatch.setattr(m, "FEW", 2)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in m.near_duplicates(docs, sketches=48).collect()}
+    assert len(set(want.values())) > 5 and got == want
