@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.scratch import stored
+from cohortlens.llm.scratch import ship, stored
 
 #: Labelled documents the text model is fitted on, hash buckets of trigrams, added count of a trigram.
 SAMPLE_DOCS, BUCKETS, ALPHA = 20_000, 1 << 15, 0.5
@@ -35,8 +35,6 @@ HOST_WEIGHT, ADDED = 10.0, 1.0
 BROADCAST_ROWS = 1_000_000
 UNKNOWN = "und"
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -57,7 +55,7 @@ def trigram_buckets(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np
     return (mixed >> np.uint64(64 - int(buckets - 1).bit_length())).astype(np.int64), np.bincount(owner[:-2][inside], minlength=len(raw))
 
 
-def _runs(batch: pa.RecordBatch, name: str, most: int = 4_000_000) -> Iterator[tuple[int, list[str | None]]]:
+def _runs(batch: pa.RecordBatch, name: str, most: int = 500_000) -> Iterator[tuple[int, list[str | None]]]:
     """Rows of a batch, some at a time, so that the arrays over their bytes stay small."""
     col = batch.column(name)
     at, run, size = 0, [], 0
@@ -83,6 +81,7 @@ class TextModel:
 def fit_text_model(docs: DataFrame, text: str = "text", label: str = "lang", sample_docs: int = SAMPLE_DOCS, buckets: int = BUCKETS) -> TextModel:
     """Trigram counts by label over about ``sample_docs`` labelled documents,
     sampled evenly over the table."""
+    ship(docs.sparkSession)
     labelled = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text"))
     share = min(1.0, sample_docs / max(1, labelled.count()))
 
@@ -168,6 +167,7 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     that are null, empty or without letters give no evidence and are ``und``.
     Null or unknown declarations, suffixes and hosts are left out of the sum.
     """
+    ship(rows.sparkSession)
     langs = model.languages
     n, known = len(langs), F.array(*[F.lit(x) for x in langs[:-1]])
     said = F.lower(F.split(F.trim("declared"), "[-_]")[0])
