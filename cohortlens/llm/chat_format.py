@@ -21,7 +21,6 @@ from functools import lru_cache
 from itertools import product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -183,10 +182,9 @@ def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(conv, pa.int64()), pa.array(part, pa.int32()), pa.array(m, pa.list_(pa.float64()))], names=["conv_id", "part", "m"])
 
 
-def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
-    """End states of the runs of a conversation (a row for each range it spans)."""
-    pdf = pdf.sort_values("part")
-    ms = [np.array(m, float).reshape(_N, _N) for m in pdf["m"]]
+def _end_states(ms: list[np.ndarray]) -> list[int]:
+    """States before, between and after the runs of a conversation on a
+    cheapest way through it."""
     best = [np.full(_N, _INF)]
     best[0][_START] = 0.0
     for m in ms:
@@ -196,9 +194,38 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
     for i in range(len(ms) - 1, -1, -1):
         state = int((best[i] + ms[i][:, state]).argmin())
         ends.append(state)
-    ends.reverse()
-    closes = [False] * (len(ms) - 1) + [True]
-    return pd.DataFrame({"conv_id": pdf["conv_id"], "part": pdf["part"], "first": ends[:-1], "last": ends[1:], "closes": closes})
+    return ends[::-1]
+
+
+def _plan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """End states of runs, from rows sorted by conversation and range: a row for
+    each range a conversation spans, so few are held at a time."""
+    names, now, held = ["conv_id", "part", "first", "last", "closes"], None, []
+    out: list[tuple] = []
+
+    def close() -> None:
+        ends = _end_states([np.array(m, float).reshape(_N, _N) for _, m in held])
+        for i, (part, _) in enumerate(held):
+            out.append((now, part, ends[i], ends[i + 1], i == len(held) - 1))
+
+    def rows() -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+        cols = list(zip(*out, strict=True)) if out else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    for batch in batches:
+        for conv, part, m in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "part", "m")), strict=True):
+            if conv != now and held:
+                close()
+                held = []
+            now = conv
+            held.append((part, m))
+        if len(out) > 5000:
+            yield rows()
+            out.clear()
+    if held:
+        close()
+    yield rows()
 
 
 _REPAIRED = (
@@ -250,7 +277,8 @@ def repair(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn
     ship(conversations.sparkSession)
     dealt = _deal(conversations, conv_id, turn, role, text)
     runs = _by_range(dealt.select("conv_id", "part", "seq", "role")).mapInArrow(_reduce, "conv_id bigint, part int, m array<double>")
-    plans = stored(runs.groupBy("conv_id").applyInPandas(_plan, "conv_id bigint, part int, first int, last int, closes boolean"))
+    sorted_runs = runs.repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    plans = stored(sorted_runs.mapInArrow(_plan_runs, "conv_id bigint, part int, first int, last int, closes boolean"))
     return _by_range(dealt.join(plans, ["conv_id", "part"])).mapInArrow(_repair, _REPAIRED)
 
 
