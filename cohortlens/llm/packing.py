@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.pretokens import WorkerCache, pretokenizer
-from cohortlens.llm.scratch import stored
+from cohortlens.llm.scratch import ship, stored
 
 #: Tokens of a sequence, id that ends a document, fill from which a bin is final, groups merged a level, cached pre-tokens.
 CAPACITY, END_ID, NEARLY_FULL, FAN_IN, CACHE_SIZE = 4096, 1, 0.999, 16, 300_000
@@ -87,7 +87,7 @@ def pack_partitions(docs: DataFrame, path: str, doc_id: str, text: str, capacity
                 if parts is None:
                     raw = np.array(tok.whole(t), "<u4").tobytes() + end
                 else:
-                    raw = b"".join([known[p] for p in parts]) + end
+                    raw = b"".join(map(known.__getitem__, parts)) + end
                 for no, start in enumerate(range(0, len(raw) // 4, capacity)):
                     piece = raw[4 * start : 4 * (start + capacity)]
                     ids.append(key)
@@ -165,6 +165,7 @@ def pack(
     are passed on; repeated rows are packed as often as they occur; an empty
     table gives no rows; other columns of ``docs`` are ignored.
     """
+    ship(docs.sparkSession)
     pieces = stored(pack_partitions(docs, path, doc_id, text, capacity, end_id))
     fills = pieces.groupBy("bin").agg(F.sum("length").alias("size"))
     parts = F.shiftright("bin", _SHIFT)

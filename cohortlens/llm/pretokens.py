@@ -18,13 +18,24 @@ import os
 import re
 
 #: Characters for which the ``re`` pattern, ``str.lower`` and NFC agree with the library.
-_PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7eÀ-įı-ɏ]*")
-#: The word-BPE file's split, written for plain characters.
-_SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7eÀ-įı-ſ]*")
+#: The word-BPE file's split, written for plain characters in lower case.
+_SPLIT = re.compile(r"[a-zß-öø-ſ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9ß-öø-ſ]+")
 #: The split the pattern above stands for; other files take the library's own way.
 _SPLIT_OF_FILE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def _byte_characters() -> list[str]:
+    """The byte-level alphabet: visible Latin-1 bytes stand for themselves, the
+    others follow from U+0100 on."""
+    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    others = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(256 + others.index(b)) for b in range(256)]
+
+
+_BYTE = _byte_characters()
+
+
 class PreTokenizer:
     """Pre-tokens of one tokenizer file; made once per Python worker."""
 
@@ -35,11 +46,12 @@ class PreTokenizer:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.model = self.tok.model
         spec = json.loads(self.tok.to_str())
         self.special = [t["content"] for t in spec["added_tokens"]]
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         lower = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-        self.plain_ok = bool(steps) and steps[0].get("pattern", {}).get("Regex") == _SPLIT_OF_FILE and lower == ["NFC", "Replace", "Lowercase"]
+        self.plain_ok = len(steps) == 2 and steps[0].get("pattern", {}).get("Regex") == _SPLIT_OF_FILE and steps[1]["type"] == "ByteLevel" and lower == ["NFC", "Replace", "Lowercase"]
 
     def split(self, text: str) -> list[str] | None:
         """Pre-tokens as text, or None when only ``whole`` is right.  Words from
@@ -55,8 +67,10 @@ class PreTokenizer:
     def ids(self, pretoken: str) -> list[int]:
         """Ids of one pre-token returned by ``split``."""
         if pretoken[:1] == "\0":
-            return [t.id for t in self.tok.model.tokenize(pretoken[1:])]
-        return self.tok.encode(pretoken, add_special_tokens=False).ids
+            pretoken = pretoken[1:]
+        elif not pretoken.isascii():  # visible ASCII is the same in the byte alphabet
+            pretoken = "".join([_BYTE[b] for b in pretoken.encode()])
+        return [t.id for t in self.model.tokenize(pretoken)]
 
     def whole(self, text: str) -> list[int]:
         """Ids of a text by the library itself."""
