@@ -11,15 +11,17 @@ A text is scored as its token sequence: A-Z lower-cased, words parted by one
 blank, then an end symbol.  Beside the model's code length stands a base: add-one
 unigram probabilities of the same tokens.
 
-All counts are grouped aggregations over every training document.  The trie is
-broadcast with at most ``MAX_ENTRIES`` entries; should the corpus have more, the
-rarest are left out by raising the least count, and their symbols escape.  Word
+All counts are grouped aggregations over every training document.  The longest
+sequences' counts are broadcast, at most ``MAX_ENTRIES``, and each Python worker
+builds the trie of them once; should the corpus have more, the rarest are left
+out by raising the least count, and their symbols escape.  Word
 counts stay distributed: only the ``FREQUENT`` commonest words are broadcast,
 each other word of a document is joined with its count.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.scratch import stored
+from cohortlens.llm.scratch import ship, stored
 
 #: Bytes of the longest context, trie entries and words broadcast at most.
 ORDER, MAX_ENTRIES, FREQUENT = 5, 4_000_000, 300_000
@@ -38,7 +40,7 @@ _END = 10  # a line feed: it can't occur inside a normalised text
 _SYMBOLS = 256
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _U = np.uint64
-_CHUNK = 2_000_000
+_CHUNK = 500_000
 
 
 def is_held_out(doc_id, folds: int = 7, fold: int = 2) -> bool:
@@ -145,7 +147,7 @@ class HashTable:
     @staticmethod
     def of(keys: np.ndarray) -> tuple[HashTable, np.ndarray]:
         """The table, and the place of each key in it."""
-        bits = max(4, int(2 * len(keys)).bit_length())
+        bits = max(4, int(1.4 * len(keys)).bit_length())
         shift = 64 - bits
         home = (keys * _U(0x9E3779B97F4A7C15) >> _U(shift)).astype(np.int64)
         by = np.argsort(home, kind="stable")
@@ -176,8 +178,7 @@ class HashTable:
 @dataclass
 class Trie:
     """All (context, symbol) entries and contexts of every order, with their
-    logarithms to base 10.  Keys: code * 8 + order, contexts with symbol 0xFF
-    replaced by their own table."""
+    logarithms to base 10.  Keys of both tables: code * 8 + order."""
 
     order: int
     entries: HashTable
@@ -279,20 +280,31 @@ def code_lengths(trie: Trie, codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES) -> Trie | None:
-    """The trie of all texts of ``docs`` (doc_id, text); None without any."""
+def train(docs: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of all sequences of ``order + 1`` symbols of ``docs``
+    (doc_id, text), or of the ``max_entries`` commonest: what a trie is built of."""
     grams = stored(gram_counts(docs, order))
     by_count = grams.groupBy(F.least("n", F.lit(1000)).alias("least")).agg(F.count(F.lit(1)).alias("entries")).collect()
     sizes = {r["least"]: r["entries"] for r in by_count}
-    if not sizes:
-        return None
     least = 1
     while sum(v for k, v in sizes.items() if k >= least) > max_entries:
         least += 1
     kept = grams.where(F.col("n") >= least) if least <= 1000 else grams.orderBy(F.desc("n"), "code").limit(max_entries)
     table = kept.toArrow()
-    codes = table.column("code").to_numpy().astype(np.int64).view(_U)
-    return build_trie(codes, table.column("n").to_numpy().astype(np.float64), order)
+    return table.column("code").to_numpy().astype(np.int64).view(_U), table.column("n").to_numpy().astype(np.int64)
+
+
+_MODEL: dict[str, tuple[Trie | None, dict[bytes, float]]] = {}
+
+
+def _model(name: str, grams: tuple, words: tuple, order: int) -> tuple[Trie | None, dict[bytes, float]]:
+    """The worker's trie and log counts of frequent words, made once."""
+    if name not in _MODEL:
+        _MODEL.clear()
+        codes, n = grams
+        trie = build_trie(codes, n.astype(np.float64), order) if len(codes) else None
+        _MODEL[name] = trie, dict(zip(words[0].to_pylist(), np.log10(words[1] + 1).tolist(), strict=True))
+    return _MODEL[name]
 
 
 def score_documents(
@@ -313,22 +325,23 @@ def score_documents(
     bytes are alike to the model.  Other columns are ignored.
     """
     spark = docs.sparkSession
+    ship(spark)
     read = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
     training = read.where(~held)
-    trie = train(training, order, max_entries)
+    grams = train(training, order, max_entries)
     words = stored(word_counts(training))
     total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = training.count()
     big_n, v = (total["n"] or 0) + ends, total["v"] + (ends > 0)
-    top = words.orderBy(F.desc("n"), "word").limit(frequent).collect()
-    known = {bytes(r["word"]): float(np.log10(r["n"] + 1)) for r in top}
-    shared = spark.sparkContext.broadcast((trie, known))
+    top = words.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
+    common = top.column("word").combine_chunks(), top.column("n").to_numpy().astype(np.int64)
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, grams, common, order))
     per_token, end_log = float(np.log10(big_n + v + 1)), float(np.log10(ends + 1))
     uniform = -float(np.log10(_SYMBOLS))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known = shared.value
+        trie, known = _model(*shared.value)
         for batch in batches:
             for ids, run in _runs(batch):
                 codes, stops = symbol_codes(run, order)
