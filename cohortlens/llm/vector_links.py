@@ -9,7 +9,8 @@ common bucket only, so sums need no list of pairs.
 
 Vectors that are bit for bit equal are one class and compared once.  Large
 buckets are cut into blocks of ``block`` members and compared block against
-block, so a task holds two blocks and returns one row per member, never pairs.
+block, so a task holds few rows at a time and returns one row per linked member
+of what it has read, never pairs.
 """
 
 from __future__ import annotations
@@ -17,16 +18,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.components import connected_components
-from cohortlens.llm.scratch import stored
+from cohortlens.llm.scratch import ship, stored
 
 #: Least cosine of a link, hash tables, extra buckets probed a table, members of a block, seed of the rotations.
-THRESHOLD, TABLES, PROBES, BLOCK, SEED = 0.98, 8, 3, 512, 20
+THRESHOLD, TABLES, PROBES, BLOCK, SEED = 0.98, 10, 1, 512, 20
+#: Members up to which buckets are compared many at once, rows read before their buckets are compared.
+SMALL, ROWS = 64, 8192
 
 
 def _rotations(dim: int, count: int, seed: int) -> np.ndarray:
@@ -112,58 +114,106 @@ def _hashed(classes: DataFrame, width: int, tables: int, probes: int, seed: int)
     return classes.mapInArrow(hash_rows, "rep bigint, label int, size bigint, embedding array<double>, codes array<bigint>")
 
 
-def _linked(x: pd.DataFrame, y: pd.DataFrame | None, code: int, threshold: float, per: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of ``x`` and ``y`` (of ``x`` alone without ``y``) that are
-    linked and whose first common bucket is ``code``."""
-    y = x if y is None else y
-    a, b = (_unit(np.stack(v["embedding"].to_numpy())) for v in (x, y))
-    cosine = a @ b.T
-    linked = cosine >= threshold
-    # a product's last bits depend on the shape of its block: close calls are summed row by row
-    p, q = np.nonzero(np.abs(cosine - threshold) < 1e-9)
-    linked[p, q] = (a[p] * b[q]).sum(1) >= threshold
-    i, j = np.nonzero(np.triu(linked, 1) if y is x else linked)
-    ca, cb = (np.stack(v["codes"].to_numpy()).reshape(len(v), -1, per)[at] for v, at in ((x, i), (y, j)))
-    home_a, home_b = ca[:, :, 0], cb[:, :, 0]
-    # common buckets where one is at home: its own code, if the other has it among its codes
+def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """First common bucket, by table, of pairs given by their codes (pairs,
+    tables, 1 + probes), of those where one of the two is at home."""
     none = np.iinfo(np.int64).max
-    at_a = np.where((cb == home_a[:, :, None]).any(2), home_a, none)
-    at_b = np.where((ca == home_b[:, :, None]).any(2), home_b, none)
+    at_a = np.where((b == a[:, :, :1]).any(2), a[:, :, 0], none)
+    at_b = np.where((a == b[:, :, :1]).any(2), b[:, :, 0], none)
     best = np.minimum(at_a, at_b)
-    table = (best != none).argmax(1)
-    own = best[np.arange(len(best)), table] == code if len(best) else np.zeros(0, bool)
-    return i[own], j[own]
-
-
-def _compare(threshold: float, per: int):
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Per member: vectors linked here, and the smallest one it hangs on."""
-        code = int(pdf["code"].iloc[0])
-        blocks = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        x = pdf[pdf["block"] == blocks[0]]
-        y = None if blocks[0] == blocks[1] else pdf[pdf["block"] == blocks[1]]
-        if not len(x) or (y is not None and not len(y)):
-            return pd.DataFrame({"rep": [], "links": [], "to": []})
-        i, j = _linked(x, y, code, threshold, per)
-        right = x if y is None else y
-        ra, rb = x["rep"].to_numpy()[i], right["rep"].to_numpy()[j]
-        sa, sb = x["size"].to_numpy()[i], right["size"].to_numpy()[j]
-        up: dict[int, int] = {}
+    return best[np.arange(len(best)), (best != none).argmax(1)]
+
+
+def _small_pairs(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of the same run, for runs of a few rows."""
+    for n in np.unique(size[size > 1]).tolist():
+        at, (x, y) = start[size == n], np.triu_indices(n, 1)
+        step = max(1, 50_000 // len(x))
+        for lo in range(0, len(at), step):
+            part = at[lo : lo + step, None]
+            yield (part + x).ravel(), (part + y).ravel()
+
+
+def _links(unit: np.ndarray, home: np.ndarray, block: np.ndarray, ij: np.ndarray, start: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs of rows within the runs that begin at ``start``: of one
+    block, or of two different ones."""
+    size = np.diff(np.append(start, len(unit)))
+    many = (size > SMALL) | (ij[start, 0] != ij[start, 1])
+    for i, j in _small_pairs(start[~many], size[~many]):
+        use = home[i] | home[j]
+        i, j = i[use], j[use]
+        near = (unit[i] * unit[j]).sum(1) >= threshold
+        yield i[near], j[near]
+    for at, n in zip(start[many].tolist(), size[many].tolist(), strict=True):
+        rows = np.arange(at, at + n)
+        x, y = (rows[block[rows] == b] for b in ij[at])
+        cosine = unit[x] @ unit[y].T
+        linked = cosine >= threshold
+        # a product's last bits depend on the shape of its block: close calls are summed row by row
+        p, q = np.nonzero(np.abs(cosine - threshold) < 1e-9)
+        linked[p, q] = (unit[x[p]] * unit[y[q]]).sum(1) >= threshold
+        p, q = np.nonzero(np.triu(linked, 1) if ij[at, 0] == ij[at, 1] else linked)
+        use = home[x[p]] | home[y[q]]
+        yield x[p][use], y[q][use]
+
+
+def _padded(lists: pa.Array) -> np.ndarray:
+    """A matrix of the lists, filled up with zeros (which leave cosines alone)."""
+    size = np.diff(lists.offsets.to_numpy())
+    out = np.zeros((len(size), max(1, int(size.max(initial=0)))))
+    out[np.arange(out.shape[1]) < size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def _compare(threshold: float, tables: int):
+    """Over rows sorted by bucket and blocks: ``rep, links`` (vectors linked here)
+    and ``to`` (the smallest class it hangs on here), one row per linked class."""
+
+    def of(t: pa.Table) -> pa.RecordBatch:
+        key = np.stack([t.column(c).to_numpy() for c in ("label", "dim", "code", "i", "j")], 1)
+        start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))
+        code, rep, size = key[:, 2], t.column("rep").to_numpy(), t.column("size").to_numpy()
+        codes = np.stack(t.column("codes").to_numpy()).reshape(len(rep), tables, -1)
+        home = codes[np.arange(len(rep)), code % tables, 0] == code
+        unit = _unit(_padded(t.column("embedding").combine_chunks()))
+        found = [(np.zeros(0, np.int64),) * 2]
+        for i, j in _links(unit, home, t.column("block").to_numpy(), key[:, 3:], start, threshold):
+            own = _first_common(codes[i], codes[j]) == code[i] if len(i) else np.zeros(0, bool)
+            found.append((i[own], j[own]))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        names, inverse = np.unique(np.concatenate((rep[i], rep[j])), return_inverse=True)
+        links = np.bincount(inverse, np.concatenate((size[j], size[i])), len(names)).astype(np.int64)
+        up = list(range(len(names)))
 
         def root(v: int) -> int:
-            while up.setdefault(v, v) != v:
+            while up[v] != v:
                 up[v] = up[up[v]]
                 v = up[v]
             return v
 
-        for p, q in zip(ra.tolist(), rb.tolist(), strict=True):
+        for p, q in zip(inverse[: len(i)].tolist(), inverse[len(i) :].tolist(), strict=True):
             p, q = root(p), root(q)
             if p != q:
                 up[max(p, q)] = min(p, q)
-        both = pd.DataFrame({"rep": np.concatenate((ra, rb)), "links": np.concatenate((sb, sa))})
-        out = both.groupby("rep", as_index=False)["links"].sum()
-        out["to"] = [root(v) for v in out["rep"].tolist()]
-        return out
+        to = names[[root(v) for v in range(len(names))]] if len(names) else names
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(links), pa.array(to)], names=["rep", "links", "to"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                held.append(batch.slice(lo, ROWS))
+                if sum(b.num_rows for b in held) < ROWS:
+                    continue
+                t = pa.Table.from_batches(held).combine_chunks()
+                key = np.stack([t.column(c).to_numpy() for c in ("label", "dim", "code", "i", "j")], 1)
+                differs = np.flatnonzero((key != key[-1]).any(1))
+                done = int(differs[-1]) + 1 if len(differs) else 0  # the last run may go on
+                if done:
+                    yield of(t.slice(0, done))
+                held = t.slice(done).to_batches()
+        if held:
+            yield of(pa.Table.from_batches(held).combine_chunks())
 
     return compare
 
@@ -189,6 +239,7 @@ def link_vectors(
     keep a null component and link with nothing.  Ids are expected to be unique:
     repeated rows count as links of each other.  An empty table gives no rows.
     """
+    ship(vectors.sparkSession)
     e = F.col(embedding).cast("array<double>")
     big = F.aggregate(e, F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -228,10 +279,9 @@ def link_vectors(
         "rep", *key, "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")
     )
     full = spots.join(hashed.select("rep", "size", "embedding", "codes"), "rep")
-    found = stored(
-        full.groupBy(*key, "i", "j")
-        .applyInPandas(_compare(threshold, 1 + probes), "rep bigint, links bigint, to bigint")
-    )
+    runs = full.repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j")
+    runs = runs.select("rep", "size", "embedding", "codes", "block", *[F.col(c).cast("bigint").alias(c) for c in (*key, "i", "j")])
+    found = stored(runs.mapInArrow(_compare(threshold, tables), "rep bigint, links bigint, to bigint"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = connected_components(found.select(F.col("rep").alias("a"), F.col("to").alias("b"))).withColumnRenamed("vertex", "rep")
     of_class = sizes.join(links, "rep", "left").join(comp, "rep", "left")
