@@ -60,9 +60,9 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cohortlens.llm.line_dedup import dedup_lines
+    from cohortlens.llm.line_dedup import dedup_similar_lines
 
-    kept = dedup_lines(load(spark, sf_dir, "documents"))
+    kept = dedup_similar_lines(load(spark, sf_dir, "documents"))
     return kept.select(
         "doc_id", "lines_before", "lines_dropped", F.length("text").alias("chars_kept"), F.crc32("text").alias("text_crc32")
     )
