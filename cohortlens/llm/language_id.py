@@ -3,7 +3,7 @@
 Four sources are combined as log-probabilities per language:
 
 * the text: hashed byte trigrams of its letters under a multinomial model,
-  fitted on a bounded sample of labelled documents;
+  fitted on all labels of the table and a bounded sample of each one's documents;
 * the declared markup language: P(declared | language);
 * the address suffix: P(suffix | language);
 * the host: a prior smoothed hierarchically, host -> domain -> all hosts.
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.scratch import ship, stored
 
-#: Labelled documents the text model is fitted on, hash buckets of trigrams, added count of a trigram.
-SAMPLE_DOCS, BUCKETS, ALPHA = 20_000, 1 << 15, 0.5
+#: Documents of each label the text model is fitted on, hash buckets of trigrams, added count of a trigram.
+SAMPLE_DOCS, BUCKETS, ALPHA = 5_000, 1 << 15, 0.5
 #: Trigrams that count as one observation (they overlap), most observations a text counts for.
 OVERLAP, MOST_EVIDENCE = 3.0, 200.0
 #: Weight of the wider level in a host's and a domain's prior, added count in the declared and suffix tables.
@@ -78,12 +78,24 @@ class TextModel:
     log_p: np.ndarray
 
 
-def fit_text_model(docs: DataFrame, text: str = "text", label: str = "lang", sample_docs: int = SAMPLE_DOCS, buckets: int = BUCKETS) -> TextModel:
-    """Trigram counts by label over about ``sample_docs`` labelled documents,
-    sampled evenly over the table."""
+def sampled(docs: DataFrame, text: str, label: str, doc_id: str, sample_docs: int) -> DataFrame:
+    """``label, text`` of all documents of the labels that have up to
+    ``sample_docs``, and of about so many of each other label: those whose hash
+    (of the id, or of the text where there is no id) is under the label's share."""
+    drawn = F.xxhash64(doc_id if doc_id in docs.columns else text)
+    has = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
+    labelled = has.select(F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text"), drawn.alias("drawn"))
+    shares = labelled.groupBy("label").agg((F.lit(float(sample_docs)) / F.count(F.lit(1))).alias("share"))
+    at = F.shiftrightunsigned("drawn", 11) / float(1 << 53)
+    return labelled.join(F.broadcast(shares), "label").where(at < F.col("share")).select("label", "text")
+
+
+def fit_text_model(
+    docs: DataFrame, text: str = "text", label: str = "lang", sample_docs: int = SAMPLE_DOCS, buckets: int = BUCKETS, doc_id: str = "doc_id"
+) -> TextModel:
+    """Trigram counts by label over about ``sample_docs`` documents of each label
+    of the table, at every size of it."""
     ship(docs.sparkSession)
-    labelled = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text"))
-    share = min(1.0, sample_docs / max(1, labelled.count()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
@@ -99,7 +111,7 @@ def fit_text_model(docs: DataFrame, text: str = "text", label: str = "lang", sam
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_pydict({"label": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at), "n": pa.array(c[at])})
 
-    counts = labelled.sample(fraction=share, seed=6).mapInArrow(count, "label string, bucket bigint, n bigint")
+    counts = sampled(docs, text, label, doc_id, sample_docs).mapInArrow(count, "label string, bucket bigint, n bigint")
     rows = counts.groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()  # at most languages x buckets
     languages = sorted({r["label"] for r in rows})
     table = np.full((len(languages) + 1, buckets), ALPHA)

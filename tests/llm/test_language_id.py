@@ -4,7 +4,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.llm.language_id import document_rows, fit_text_model, identify, page_rows
+from cohortlens.llm.language_id import document_rows, fit_text_model, identify, page_rows, sampled
 
 ROWS = "id bigint, text string, declared string, suffix string, host string, domain string"
 EN, FR = "the cat and the dog were in the house with the children", "le chat et le chien sont dans la maison avec les enfants"
@@ -76,3 +76,15 @@ def test_no_rows(spark, small_model):
     assert _run(spark, small_model, []) == {}
     empty = spark.createDataFrame([], "text string, lang string")
     assert identify(spark.createDataFrame([(1, EN, "en", None, None, None)], ROWS), fit_text_model(empty)).first()["language"] == "und"
+
+
+def test_a_rare_language_is_in_the_model(spark):
+    """The labels come from all documents; a sample is only drawn within each."""
+    rows = [(i, EN, "en") for i in range(4000)] + [(9001, FR, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = fit_text_model(docs, sample_docs=50)
+    assert model.languages == ["en", "fr", "und"]
+    got = _run(spark, model, [(1, FR, "fr", None, None, None)])[1]
+    assert (got["language"], got["declared"], got["accepted"]) == ("fr", "fr", True)
+    again = fit_text_model(docs.repartition(7), sample_docs=50)
+    assert (model.log_p == again.log_p).all() and 20 <= sampled(docs, "text", "lang", "doc_id", 50).where("label = 'en'").count() <= 90
