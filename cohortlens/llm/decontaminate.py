@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation, on DataFrame functions alone.
 
-Texts become templates: numbers, names (capitalised words inside a sentence)
+Texts become templates: numbers, names (capitalised words, wherever they stand)
 and units after a number are replaced by typed placeholders, other words are
-lower-cased.  The five-word windows of documents are hash-joined with those of
+lower-cased.  The lower-cased words themselves are compared too, so that a copy
+in other case is found.  The five-word windows of documents are hash-joined with those of
 the benchmark items.  A document contains an item if windows near one diagonal
 (document place minus item place) cover ``THRESHOLD`` or more of the item's and
 if the slots are consistent: the same item value must stand for the same
@@ -33,7 +34,7 @@ _NOT_WORD = r"[\s\p{Punct}]+"
 
 def _marked(text: Column) -> Column:
     """``text`` with names marked and each number one token of its own."""
-    named = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;] )\p{Lu}(?=\p{Ll})", f"{_NAME}$0")
+    named = F.regexp_replace(text, r"(?<![\p{L}\p{N}])\p{Lu}", f"{_NAME}$0")
     one = F.regexp_replace(F.regexp_replace(named, r"(?<=\d)[.,:/](?=\d)", _POINT), r"(?<=\d)(?=\p{L})|(?<=\p{L})(?=\d)", " ")
     return F.btrim(F.when(named.rlike("[0-9]"), one).otherwise(named), F.lit(_EDGE))
 
@@ -46,6 +47,11 @@ def _template(marked: Column) -> Column:
     return F.split(F.when(plain.rlike("[0-9]"), units).otherwise(plain), _NOT_WORD, -1)
 
 
+def _words(text: Column) -> Column:
+    """Text whose lower-cased words stand for themselves."""
+    return F.btrim(F.lower(text), F.lit(_EDGE))
+
+
 def _windows(tokens: Column) -> Column:
     """Hashes of all windows; null for shorter texts.  The token array is bound
     once, so that it isn't split again for every window."""
@@ -61,12 +67,13 @@ def _slots(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: t.isin(_NAME, _NUM, _UNIT))
 
 
-def benchmark_windows(items: DataFrame, item_id: str, text: str) -> DataFrame:
+def benchmark_windows(items: DataFrame, item_id: str, text: str, plain: bool = False) -> DataFrame:
     """``item_id, item_pos, h, types, values, of`` -- one row per distinct window
     with enough plain words; ``of`` counts those of the item."""
     base = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).cast("string").alias("text"))
-    marked = base.select("item_id", _marked(F.col("text")).alias("m")).where("item_id IS NOT NULL")
-    split = marked.select("item_id", F.split("m", _NOT_WORD, -1).alias("v"), _template(F.col("m")).alias("t")).where(F.size("t") >= WINDOW)
+    marked = base.select("item_id", (_words if plain else _marked)(F.col("text")).alias("m")).where("item_id IS NOT NULL")
+    v = F.split("m", _NOT_WORD, -1)
+    split = marked.select("item_id", v.alias("v"), (v if plain else _template(F.col("m"))).alias("t")).where(F.size("t") >= WINDOW)
     split = stored(split)  # a small table; keeps the splits from being repeated below
     at = split.select("item_id", "v", "t", F.posexplode(_windows(F.col("t"))).alias("item_pos", "h"))
     start = F.col("item_pos") + 1
@@ -94,12 +101,20 @@ def contaminated(
     Repeated documents give one row per id and item.  Empty tables give none;
     extra columns are ignored.
     """
-    bench = benchmark_windows(items, item_id, item_text)
+    read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
+    out = stored(_contained(*read, threshold, consistency, plain=False))
+    return out.unionByName(_contained(*read, threshold, consistency, plain=True).join(out.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti"))
+
+
+def _contained(docs: DataFrame, items: DataFrame, threshold: float, consistency: float, plain: bool) -> DataFrame:
+    """What ``contaminated`` finds by templates, or by the ``plain`` words."""
+    bench = benchmark_windows(items, "item_id", "text", plain)
     probe = bench.select("item_id", "item_pos", "h", "types", "values")
     probe = F.broadcast(probe) if probe.count() <= BROADCAST_ROWS else probe
-    base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    marked = base.select("doc_id", _marked(F.col("text")).alias("m"))
-    each = marked.select("doc_id", "m", F.posexplode(_windows(_template(F.col("m")))).alias("doc_pos", "h"))
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+    marked = base.select("doc_id", (_words if plain else _marked)(F.col("text")).alias("m"))
+    tokens = F.split("m", _NOT_WORD, -1) if plain else _template(F.col("m"))
+    each = marked.select("doc_id", "m", F.posexplode(_windows(tokens)).alias("doc_pos", "h"))
     hit = each.join(probe, "h").withColumn("slotted", F.size(_slots(F.col("types"))) > 0)
     found = F.slice(F.split("m", _NOT_WORD, -1), F.col("doc_pos") + 1, WINDOW)
     hits = stored(

@@ -70,3 +70,18 @@ def test_against_windows_in_python(spark, sf_small):
 @pytest.mark.parametrize("docs,items", [({}, ITEMS), (DOCS, []), ({}, [])])
 def test_empty_tables(spark, docs, items):
     assert _run(spark, docs, items) == {}
+
+
+def test_names_at_sentence_starts_and_changed_case(spark):
+    item = "Tom buys nine red apples at the market near home. Tom gives two of them to his sister. Tom eats one apple. How many are left over now?"
+    named = "She said in May that Bob and Eve met Carol near Lyon while Dave and Frank walked from Paris to Rome with Grace and Heidi"
+    docs = {
+        1: "some words " + item.replace("Tom", "Ann") + " and more",
+        2: named.lower(),
+        3: named.upper(),
+        4: "intro: \"" + item.replace("Tom", "ANN") + "\"",
+        5: "nobody buys nine green pears at the shop and then walks all the way home again to his sister",
+    }
+    got = _run(spark, docs, [(1, item), (2, named)])
+    assert set(got) == {(1, 1), (4, 1), (2, 2), (3, 2)}
+    assert got[1, 1]["kind"] == "reparameterised" and got[2, 2]["kind"] == "verbatim"
