@@ -190,7 +190,7 @@ def linear_attribution(spark, sf):
 # ---------------------------------------------------------------- L11 / D11
 @register("kmeans_profile")
 def kmeans_profile(spark, sf):
-    d = model_frame(spark, sf)
+    d = score_frame(spark, sf)  # the target only ranks the labels
     _, prof, sil = ml.kmeans_profile(d, FEATURES, TARGET, k=3)
     return finish(prof.withColumn("silhouette", F.lit(float(sil))))
 
@@ -198,14 +198,14 @@ def kmeans_profile(spark, sf):
 # ---------------------------------------------------------------- L13
 @register("pca_projection")
 def pca_projection(spark, sf):
-    return finish(ml.pca_projection(model_frame(spark, sf), FEATURES, 2, keep=["c_custkey"]))
+    return finish(ml.pca_projection(score_frame(spark, sf), FEATURES, 2, keep=["c_custkey"]))
 
 
 # ---------------------------------------------------------------- H6
 @register("engagement_pca")
 def engagement_pca(spark, sf):
     eng = ["Overall_Avg_Attendance", "Overall_Avg_Homework", "Overall_Avg_Participation"]
-    return finish(ml.engagement_pca(model_frame(spark, sf), eng, keep=["c_custkey"]))
+    return finish(ml.engagement_pca(score_frame(spark, sf), eng, keep=["c_custkey"]))
 
 
 # ---------------------------------------------------------------- L14
