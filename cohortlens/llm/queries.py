@@ -1,8 +1,8 @@
 """The registered queries of the training-data operators.
 
 Each ``opN_<name>`` applies one operator with its production parameters to the
-whole table it is meant for and returns its full result.  None has an oracle
-in SQL: tokenizers, hashing and models are not SQL-expressible (the tests
+whole table it is meant for and returns its full result.  ``ORACLE`` has the SQL
+of those that SQL can express; tokenizers, hashing and models are not (the tests
 compare each with a brute-force version or held-out accuracy).
 """
 
@@ -104,6 +104,36 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(repair(load(spark, sf_dir, "conversations")))
 
 
+@_query
+def op11_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.warc_index import archived
+
+    found = archived(load(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base32 of a hexadecimal SHA-1: five digits are four letters.
+_BASE32 = """array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0],
+  lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(s, 5 * i::INT + 1, 5))::INT >> b) & 31) + 1), 1)), '')), '')"""
+
+ORACLE["op11_warc_index"] = f"""
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS s,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+  FROM pages)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM hashed"""
+
+
+@_query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.periodic_runs import crc_places, periodic_runs, run_digest
+
+    return run_digest(periodic_runs(load(spark, sf_dir, "documents"), places=crc_places))
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
