@@ -134,6 +134,30 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digest(periodic_runs(load(spark, sf_dir, "documents"), places=crc_places))
 
 
+@_query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.llm.lexical_search import search
+
+    return search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+_TERMS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"""
+
+ORACLE["op13_lexical_search"] = f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+held AS (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS t FROM doc),
+total AS (SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM doc WHERE len(ts) > 0),
+tf AS (SELECT r, doc_id, n, t, count(*) AS tf FROM held GROUP BY ALL),
+term AS (SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY t),
+item AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+scored AS (
+  SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_docs) // n_terms)))))::BIGINT AS score
+  FROM item JOIN tf USING (t) JOIN term USING (t), total GROUP BY item_id, r, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r)::INT AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50"""
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
