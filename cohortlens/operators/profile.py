@@ -92,15 +92,9 @@ def one_row_safe_join(a: DataFrame, names: DataFrame) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, std, min, 25/50/75 % (exact, interpolated), max per column."""
     long = to_long(df, columns).where(F.col("value").isNotNull())
-    moments = long.groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    qs = quantiles(long, "value", [0.25, 0.5, 0.75], ["column"], ["q25", "q50", "q75"])
-    return moments.join(qs, "column").select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    moments = {"count": F.count("_v"), "mean": F.avg("_v"), "std": F.stddev_samp("_v"), "min": F.min("_v"), "max": F.max("_v")}
+    qs = quantiles(long, "value", [0.25, 0.5, 0.75], ["column"], ["q25", "q50", "q75"], extra=moments)
+    return qs.select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def scale_check(df: DataFrame, columns: Sequence[str], lo: float = 0.0, hi: float = 100.0) -> DataFrame:

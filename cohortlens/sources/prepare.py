@@ -29,9 +29,16 @@ def ranged(df: DataFrame, order: Sequence) -> DataFrame:
     coalesced, run again after a lost executor -- sees the same ranges.  (Two
     branches that each range-partition the frame do not: the bounds are sampled
     per exchange.)
+
+    Rows of equal ``order`` are spread by a hash of the whole row, and rows that
+    are equal altogether by their place in the input, so that a key of a third of
+    all rows is divided among as many ranges as its share asks for.
     """
     mid = F.monotonically_increasing_id()
-    s = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    row = df.withColumns({"_row_hash": F.xxhash64(*hashed) if hashed else F.lit(0), "_row_no": mid})
+    keys = [*order, "_row_hash", "_row_no"]
+    s = row.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_row_hash", "_row_no")
     place = mid.bitwiseAND(F.lit((1 << 33) - 1))
     return materialize(s.select("*", F.shiftright(mid, 33).alias("_range"), place.alias("_place")))
 
