@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators import models as ml
 from cohortlens.operators import split as sp
 from cohortlens.operators import stats
+from cohortlens.operators.linear_cv import linear_cv
 from cohortlens.plans.catalog.reshape import stage_features
 from cohortlens.plans.registry import finish, register
 from cohortlens.session import materialize, scratch_path
@@ -99,9 +100,33 @@ def linear_regression(spark, sf):
 def regularised_cv(spark, sf):
     """Lasso and ridge over a log-spaced regParam grid, 5 folds (fold column from the id hash)."""
     d = sp.kfold(model_frame(spark, sf), "c_custkey", 5)
-    lasso = ml.cross_validate(d, FEATURES, TARGET, LinearRegression(elasticNetParam=1.0), {"regParam": LASSO_GRID}, "fold")
-    ridge = ml.cross_validate(d, FEATURES, TARGET, LinearRegression(elasticNetParam=0.0), {"regParam": RIDGE_GRID}, "fold")
-    return lasso.withColumn("model", F.lit("lasso")).unionByName(ridge.withColumn("model", F.lit("ridge")))
+    grids = {"lasso": (1.0, LASSO_GRID), "ridge": (0.0, RIDGE_GRID)}
+    return linear_cv(d, FEATURES, TARGET, "fold", grids).select("params", "mean_r2", "std_r2", "model")
+
+
+_RIDGE_VALUES = [0.0, 1.0, 100.0, 5000.0, 20000.0]
+
+
+@register(
+    "ridge_cv_pair",
+    sql=f"""
+WITH rows_ AS (SELECT l_orderkey % 5 AS fold, l_quantity::DOUBLE AS a, l_discount::DOUBLE AS b, l_extendedprice::DOUBLE AS y FROM lineitem),
+part AS (SELECT h.fold AS held, r.* FROM rows_ r JOIN (SELECT DISTINCT fold FROM rows_) h ON r.fold <> h.fold),
+fit AS (SELECT held, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, stddev_pop(y) AS sy,
+  corr(a, b) AS rab, corr(a, y) AS ray, corr(b, y) AS rby FROM part GROUP BY held),
+grid AS (SELECT unnest({_RIDGE_VALUES}::DOUBLE[]) AS reg),
+coef AS (SELECT held, reg, my, ma, mb, 1 + reg / sy AS d,
+  (ray * (1 + reg / sy) - rab * rby) / ((1 + reg / sy) ** 2 - rab ** 2) * sy / sa AS wa,
+  (rby * (1 + reg / sy) - rab * ray) / ((1 + reg / sy) ** 2 - rab ** 2) * sy / sb AS wb FROM fit, grid),
+score AS (SELECT held, reg, 1 - sum((y - my - wa * (a - ma) - wb * (b - mb)) ** 2) / (count(*) * var_pop(y)) AS r2
+  FROM coef JOIN rows_ ON fold = held GROUP BY held, reg)
+SELECT reg, round(avg(r2), 6) AS mean_r2, round(stddev_pop(r2), 6) AS std_r2 FROM score GROUP BY reg""",
+)
+def ridge_cv_pair(spark, sf):
+    """Ridge of two features over a few penalties, 5 folds by key: the closed form in SQL."""
+    li = load(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_extendedprice", (F.col("l_orderkey") % 5).alias("fold"))
+    got = linear_cv(li, ["l_quantity", "l_discount"], "l_extendedprice", "fold", {"ridge": (0.0, _RIDGE_VALUES)})
+    return finish(got.select("reg", "mean_r2", "std_r2"), 6)
 
 
 @register("cv_scores")
