@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators import stats
+from cohortlens.operators.neighbours import nearest_neighbours
 from cohortlens.operators.sizing import broadcast_if_small, one_row
 from cohortlens.session import materialize
 from cohortlens.sources.prepare import row_positions
@@ -285,47 +286,19 @@ def save_reload_check(model: PipelineModel, df: DataFrame, path: str, id_col: st
     )
 
 
-def nearest_neighbours(df: DataFrame, features: Sequence[str], id_col: str, k: int, tables: int = 4, block: int = 512, seed: int = 42) -> DataFrame:
-    """``_a, _b, dist, _j``: for each row its k nearest of the candidates, j from 0.
-
-    Candidates are the rows of the same block: in each table the rows are ranked
-    by a random projection of the standardised features and cut into blocks of
-    ``block`` to twice as many.  Work is n x block x tables, whatever the data's
-    shape; up to ``block`` rows in all, the neighbours are exact.  No row is
-    without neighbours (there is no distance cutoff)."""
+def standardised_neighbours(df: DataFrame, features: Sequence[str], id_col: str, k: int) -> DataFrame:
+    """``_a, _b, dist, _j``: each row's k nearest by the standardised features, exactly."""
     stages = [VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="error"), StandardScaler(inputCol="_raw", outputCol="_std", withMean=True, withStd=True)]
     scaled = Pipeline(stages=stages).fit(df).transform(df).select(F.col(id_col).alias("_a"), vector_to_array("_std").alias("_x"))
-    rng = np.random.default_rng(seed)
-    scaled = materialize(scaled)
-    blocks = max(1, scaled.count() // block)
-    parts = None
-    for t in range(tables if blocks > 1 else 1):
-        direction = F.array(*[F.lit(float(v)) for v in rng.normal(size=len(features))])
-        projected = F.aggregate(F.zip_with("_x", direction, lambda x, w: x * w), F.lit(0.0), lambda s, v: s + v)
-        ranked = row_positions(scaled.withColumn("_p", projected), ["_p", "_a"], "_pos")
-        of = F.least(F.floor((F.col("_pos") - 1) / block), F.lit(blocks - 1)).cast("int")
-        part = ranked.select("_a", "_x", F.lit(t).alias("_t"), of.alias("_block"))
-        parts = part if parts is None else parts.unionByName(part)
-
-    def nearest(pdf):
-        x, ids = np.stack(pdf["_x"].to_numpy()), pdf["_a"].to_numpy()
-        d = np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(2), 0))
-        np.fill_diagonal(d, np.inf)
-        order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, : min(k, len(ids) - 1)]
-        rows = np.repeat(np.arange(len(ids)), order.shape[1])
-        return pd.DataFrame({"_a": ids[rows], "_b": ids[order.ravel()], "dist": d[rows, order.ravel()]})
-
-    kind = df.schema[id_col].dataType.simpleString()
-    found = parts.groupBy("_t", "_block").applyInPandas(nearest, f"_a {kind}, _b {kind}, dist double").groupBy("_a", "_b").agg(F.min("dist").alias("dist"))
-    w = Window.partitionBy("_a").orderBy("dist", "_b")  # at most k rows a table
-    return found.withColumn("_j", F.row_number().over(w) - 1).where(F.col("_j") < k)
+    names = [f"x{i}" for i in range(len(features))]
+    return nearest_neighbours(scaled.select("_a", *[F.col("_x")[i].alias(c) for i, c in enumerate(names)]), names, "_a", k)
 
 
 def smote(df: DataFrame, features: Sequence[str], label: str, id_col: str, k: int = 5, seed: int = 42) -> DataFrame:
     """M5: SMOTE oversampling of the minority class as a distributed job.
 
     Synthetic rows are ``x + u · (x_nn - x)`` with x_nn one of the k nearest
-    minority rows (``nearest_neighbours``) and u a hash of (id, draw), made
+    minority rows (``standardised_neighbours``) and u a hash of (id, draw), made
     round-robin over each row's neighbours until the classes are equal.  Returns
     the original rows plus the synthetic ones (``synthetic`` = 1).  Features must
     not be null (fill them with the train medians); a minority of one row can't
@@ -339,7 +312,7 @@ def smote(df: DataFrame, features: Sequence[str], label: str, id_col: str, k: in
     if n_min < 2:
         raise ValueError(f"class {minority!r} has {n_min} row(s): no neighbours to interpolate with")
     mino = df.where(F.col(label) == F.lit(minority))
-    nn = materialize(nearest_neighbours(mino, features, id_col, k, seed=seed))
+    nn = materialize(standardised_neighbours(mino, features, id_col, k))
     n_nb = nn.groupBy("_a").agg(F.count(F.lit(1)).alias("_m"))
     draws = df.sparkSession.range(math.ceil(need / n_min)).select(F.col("id").cast("int").alias("_s"))
     cand = n_nb.crossJoin(F.broadcast(draws)).withColumn("_j", F.pmod(F.col("_s"), F.col("_m")).cast("int"))

@@ -66,20 +66,6 @@ def test_smote_balances_classes(spark, frame):
     assert len(set(sizes.values())) == 1
 
 
-def test_neighbours_are_exact_in_one_block_and_linear_beyond(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(300, 3))
-    d = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id bigint, a double, b double, c double")
-    z = (x - x.mean(0)) / x.std(0, ddof=1)
-    dist = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
-    np.fill_diagonal(dist, np.inf)
-    want = {i: np.argsort(dist[i])[:5].tolist() for i in range(300)}
-    rows = models.nearest_neighbours(d, ["a", "b", "c"], "id", 5).orderBy("_a", "_j").collect()
-    assert {i: [r["_b"] for r in rows if r["_a"] == i] for i in range(300)} == want
-    rows = models.nearest_neighbours(d, ["a", "b", "c"], "id", 5, block=32).collect()
-    assert len(rows) == 1500 and np.mean([r["_b"] in want[r["_a"]] for r in rows]) > 0.5
-
-
 def test_smote_refuses_a_single_row(spark):
     d = spark.createDataFrame([(1, 0.0, 1), (2, 1.0, 0), (3, 2.0, 0)], "id bigint, a double, y int")
     with pytest.raises(ValueError):
