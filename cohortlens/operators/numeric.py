@@ -8,6 +8,7 @@ rule of the notebooks (quirk Q10: the test split uses the train limits).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -85,30 +86,66 @@ def yeo_johnson_expr(x: Column, lam: Column | float) -> Column:
     return F.when(x >= 0, pos).otherwise(neg)
 
 
-def yeo_johnson_fit(df: DataFrame, col: str, grid: Sequence[float] | None = None) -> DataFrame:
-    """T5 (fit): λ maximising the Yeo-Johnson log-likelihood
-    ``-n/2 · log(var(y_λ)) + (λ - 1) · Σ sign(x) log1p(|x|)`` over a λ grid,
-    all grid points evaluated in one aggregate pass; returns one row ``(lambda)``."""
-    grid = list(grid if grid is not None else np.round(np.arange(-3.0, 3.0001, 0.01), 4))
+def yeo_johnson_profile(df: DataFrame, col: str, grid: Sequence[float]) -> DataFrame:
+    """T5 (fit): ``lambda, log_likelihood`` of every λ of the grid,
+    ``-n/2 · log(var(y_λ)) + (λ - 1) · Σ sign(x) log1p(|x|)``, all from one aggregate
+    pass over the non-null values (no rows without any)."""
     x = _q(col).cast("double")
     d = df.where(x.isNotNull())
-    exprs = [F.count(F.lit(1)).alias("_n"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("_s")]
-    for i, lam in enumerate(grid):
-        y = yeo_johnson_expr(x, float(lam))
-        exprs += [F.var_pop(y).alias(f"_v{i}")]
-    row = d.agg(*exprs)
-    cand = F.array(
-        *[
-            F.struct(
-                (-F.col("_n") / 2 * F.log(F.col(f"_v{i}")) + F.lit(float(lam) - 1) * F.col("_s")).alias("ll"),
-                F.lit(float(lam)).alias("lam"),
-            )
-            for i, lam in enumerate(grid)
-        ]
+    row = d.agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("_s"),
+        F.array(*[F.var_pop(yeo_johnson_expr(x, float(lam))) for lam in grid]).alias("_v"),
     )
-    best = F.aggregate(cand, F.struct(F.lit(float("-inf")).alias("ll"), F.lit(0.0).alias("lam")),
-                       lambda acc, c: F.when(c["ll"] > acc["ll"], c).otherwise(acc))
-    return row.select(best["lam"].alias("lambda"))
+    each = row.where("_n > 0").select("_n", "_s", F.posexplode("_v").alias("_i", "_var"))
+    lam = F.get(F.array(*[F.lit(float(v)) for v in grid]), F.col("_i"))
+    return each.select(lam.alias("lambda"), (-F.col("_n") / 2 * F.log("_var") + (lam - 1) * F.col("_s")).alias("log_likelihood"))
+
+
+#: The λ range searched first and its points, points of a refining pass, width of the final bracket, |λ| beyond which the search ends.
+YJ_START, YJ_POINTS, YJ_REFINE, YJ_TOLERANCE, YJ_LIMIT = (-3.0, 3.0), 61, 41, 1e-6, 400.0
+
+
+def _best_lambda(df: DataFrame, col: str, grid: Sequence[float]) -> tuple[int, float] | None:
+    """Place and log-likelihood of the best λ of an ascending grid (one small row a
+    point); overflow and constant results never win."""
+    rows = sorted((r["lambda"], r["log_likelihood"]) for r in yeo_johnson_profile(df, col, grid).collect())
+    good = [(ll, -i) for i, (_, ll) in enumerate(rows) if ll is not None and math.isfinite(ll)]
+    if not good:
+        return None
+    ll, i = max(good)
+    return -i, ll
+
+
+def yeo_johnson_fit(df: DataFrame, col: str, grid: Sequence[float] | None = None) -> DataFrame:
+    """T5 (fit): one row ``lambda, log_likelihood, at_edge``: the λ of the greatest
+    likelihood.
+
+    With a ``grid``, the best of its points.  Without one, the range is widened
+    by further passes while the best λ lies at its edge (up to ``YJ_LIMIT``,
+    flagged ``at_edge``), then the bracket around it is refined pass by pass down to
+    ``YJ_TOLERANCE``.  A column without values, or a constant one, gets λ = 1 (the
+    identity) and a null likelihood."""
+    kind = "lambda double, log_likelihood double, at_edge boolean"
+    spark = df.sparkSession
+    points = sorted(map(float, grid)) if grid is not None else np.linspace(*YJ_START, YJ_POINTS).tolist()
+    found = _best_lambda(df, col, points)
+    if found is None:
+        return spark.createDataFrame([(1.0, None, False)], kind)
+    i, ll = found
+    if grid is not None:
+        return spark.createDataFrame([(points[i], ll, i in (0, len(points) - 1))], kind)
+    while i in (0, len(points) - 1) and abs(points[i]) < YJ_LIMIT:
+        edge, width = points[i], points[-1] - points[0]
+        ends = (edge - 2 * width, edge + width / YJ_POINTS) if i == 0 else (edge - width / YJ_POINTS, edge + 2 * width)
+        points = np.linspace(*ends, YJ_POINTS).tolist()
+        i, ll = _best_lambda(df, col, points)
+    at_edge = i in (0, len(points) - 1)
+    while not at_edge and points[i + 1] - points[i - 1] > YJ_TOLERANCE:
+        points = np.linspace(points[i - 1], points[i + 1], YJ_REFINE).tolist()
+        i, ll = _best_lambda(df, col, points)
+        i = min(max(i, 1), len(points) - 2)  # flat to the last digit: any neighbour will do
+    return spark.createDataFrame([(float(points[i]), ll, at_edge)], kind)
 
 
 def yeo_johnson(df: DataFrame, col: str, lam: DataFrame | float, out: str | None = None, standardize_out: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ Expand, and a column is a group, not a separate scan.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.mathx import sample_skewness
 from cohortlens.operators.quantiles import quantiles
 from cohortlens.operators.sizing import broadcast_if_small, one_row
+from cohortlens.session import materialize
 
 
 def _q(c: str) -> Column:
@@ -62,11 +64,31 @@ def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def cardinality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct values per column counting null as a value (``nunique``
-    with NaN included), and without it."""
-    dv = distinct_values(df, columns)
-    return dv.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n_unique_with_null"), F.count("value").alias("n_unique")
+    with NaN included), and without it.
+
+    Only hashes are grouped: a value's text never leaves its task.  Two values
+    of one 64-bit hash show by a second one; where that happens the texts of
+    just these hashes are counted."""
+    cols = list(columns)
+    text = [_q(c).cast("string") for c in cols]
+    pair = [F.struct(F.lit(c).alias("column"), F.when(t.isNotNull(), F.xxhash64(t)).alias("h"), F.xxhash64(F.lit(1), t).alias("h2")) for c, t in zip(cols, text, strict=True)]
+    hashed = df.select(F.explode(F.array(*pair)).alias("p")).select("p.*")
+    per_hash = hashed.groupBy("column", "h").agg(F.min("h2").alias("a"), F.max("h2").alias("b"))
+    shared = F.col("h").isNotNull() & (F.col("a") != F.col("b"))
+    counts = materialize(
+        per_hash.groupBy("column").agg(
+            F.count(F.lit(1)).alias("n_unique_with_null"), F.count("h").alias("n_unique"), F.count_if(shared).alias("shared")
+        )
     )
+    if counts.where("shared > 0").limit(1).count():
+        which = per_hash.where(shared).select("column", "h")
+        texts = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), t.alias("v")) for c, t in zip(cols, text, strict=True)])).alias("p")).select("p.*")
+        again = texts.where("v IS NOT NULL").withColumn("h", F.xxhash64("v")).join(which, ["column", "h"], "left_semi")
+        more = again.distinct().groupBy("column").agg((F.count(F.lit(1)) - F.countDistinct("h")).alias("more"))
+        counts = counts.join(F.broadcast(more), "column", "left")  # a row a column
+        extra = F.coalesce("more", F.lit(0))
+        counts = counts.withColumns({c: F.col(c) + extra for c in ("n_unique_with_null", "n_unique")})
+    return counts.select("column", "n_unique_with_null", "n_unique")
 
 
 def dtype_profile(df: DataFrame) -> DataFrame:
@@ -155,6 +177,35 @@ def density_by_group(df: DataFrame, value: str, group: str, bins: int) -> DataFr
     return j.select(group, "bin", "lo", "hi", "n", (F.col("n") / (F.col("_gn") * (F.col("hi") - F.col("lo")))).alias("density"))
 
 
+#: Fixed values of the density curve: points, reach beyond the data in bandwidths, cells a group's values are binned to.
+CURVE_POINTS, CURVE_CUT, CURVE_CELLS = 200, 3.0, 1024
+
+
+def density_curve(df: DataFrame, value: str, group: str, points: int = CURVE_POINTS, cells: int = CURVE_CELLS) -> DataFrame:
+    """Per group a Gaussian kernel density on ``points`` even steps from
+    ``CURVE_CUT`` bandwidths below the least value to as many above the greatest,
+    with Scott's bandwidth ``std · n^(-1/5)``: ``group, point, x, density``.
+
+    The kernel is laid over a fine histogram (a cell stands at the mean of its
+    values), so the work after one aggregate is groups × cells × points whatever
+    the number of rows.  Groups whose values are all equal have no curve."""
+    v = _q(value).cast("double")
+    d = df.where(F.col(group).isNotNull() & v.isNotNull() & ~F.isnan(v)).select(group, v.alias("_v"))
+    per = d.groupBy(group).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.stddev_samp("_v").alias("_sd")
+    )
+    per = materialize(per.where("_sd > 0").withColumn("_bw", F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2))))
+    placed = d.join(broadcast_if_small(per), group)
+    cell = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * cells), F.lit(cells - 1)).alias("_cell")
+    binned = placed.groupBy(group, cell).agg(F.count(F.lit(1)).alias("_c"), F.avg("_v").alias("_at"))
+    start, end = F.col("_lo") - CURVE_CUT * F.col("_bw"), F.col("_hi") + CURVE_CUT * F.col("_bw")
+    each = binned.join(broadcast_if_small(per), group).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    each = each.withColumn("x", start + F.col("point") * (end - start) / (points - 1))
+    z = (F.col("x") - F.col("_at")) / F.col("_bw")
+    kernel = F.col("_c") * F.exp(-z * z / 2) / (F.col("_n") * F.col("_bw") * math.sqrt(2 * math.pi))
+    return each.groupBy(group, "point", "x").agg(F.sum(kernel).alias("density"))
+
+
 def box_stats(df: DataFrame, value: str, group: str, k: float = 1.5) -> DataFrame:
     """Per group quartiles, IQR whiskers (most extreme values inside
     ``[q1 - k IQR, q3 + k IQR]``), mean, sample std, outlier count."""

@@ -206,12 +206,29 @@ def yeo_johnson(spark, sf):
 
 @register("yeo_johnson_fit")
 def yeo_johnson_fit(spark, sf):
-    """λ by maximum likelihood (grid in one pass), then the standardised transform."""
+    """λ by maximum likelihood (searched over a few passes), then the standardised transform."""
     o = load(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 100000 - 1).alias("x"))
     lam = num.yeo_johnson_fit(o, "x")
     return finish(num.yeo_johnson(o, "x", lam, out="yj", standardize_out=True).select("o_orderkey", "yj"))
 
 
+_YJ_GRID = [i / 4 for i in range(-8, 13)]
+
+
+@register(
+    "yeo_johnson_profile",
+    sql=f"""WITH t AS (SELECT o_totalprice / 100000 - 1 AS x, unnest({_YJ_GRID}::DOUBLE[]) AS lam FROM orders),
+y AS (SELECT lam, x, CASE WHEN x >= 0 THEN CASE WHEN lam = 0 THEN ln(x + 1) ELSE (power(x + 1, lam) - 1) / lam END
+  ELSE CASE WHEN lam = 2 THEN -ln(1 - x) ELSE -(power(1 - x, 2 - lam) - 1) / (2 - lam) END END AS y FROM t)
+SELECT lam AS "lambda", round(-count(*) / 2.0 * ln(var_pop(y)) + (lam - 1) * sum(sign(x) * ln(1 + abs(x))), 3) AS log_likelihood
+FROM y GROUP BY lam""",
+)
+def yeo_johnson_profile(spark, sf):
+    """Log-likelihood of a fixed λ grid."""
+    o = load(spark, sf, "orders").select((F.col("o_totalprice") / 100000 - 1).alias("x"))
+    return finish(num.yeo_johnson_profile(o, "x", _YJ_GRID), 3)
+
+
 # ---------------------------------------------------------------- T6
 @register(
     "minmax",

@@ -206,6 +206,20 @@ def density_by_group(spark, sf):
     return finish(d.withColumn("density_per_million", 1e6 * F.col("density")).drop("density"))
 
 
+@register(
+    "density_curve",
+    sql="""WITH d AS (SELECT o_orderpriority AS g, o_totalprice AS v FROM orders WHERE o_orderpriority IS NOT NULL AND o_totalprice IS NOT NULL),
+per AS (SELECT g, count(*) AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) * power(count(*), -0.2) AS bw FROM d GROUP BY g),
+cell AS (SELECT d.g, least(floor((v - lo) / (hi - lo) * 1024), 1023) AS cell, count(*) AS c, avg(v) AS mid FROM d JOIN per USING (g) GROUP BY ALL),
+point AS (SELECT g, n, bw, p::INT AS point, lo - 3 * bw + p * ((hi + 3 * bw) - (lo - 3 * bw)) / 199 AS x FROM per, unnest(range(200)) AS t(p))
+SELECT g AS o_orderpriority, point, round(x, 4) AS x, round(1e6 * sum(c * exp(-power((x - mid) / bw, 2) / 2)) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 6) AS density_per_million
+FROM cell JOIN point USING (g) GROUP BY g, point, x""",
+)
+def density_curve(spark, sf):
+    d = profile.density_curve(load(spark, sf, "orders"), "o_totalprice", "o_orderpriority")
+    return finish(d.select("o_orderpriority", "point", F.round("x", 4).alias("x"), (1e6 * F.col("density")).alias("density_per_million")))
+
+
 # ---------------------------------------------------------------- A23
 @register(
     "box_stats",
