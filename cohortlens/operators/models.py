@@ -273,7 +273,10 @@ def save_reload_check(model: PipelineModel, df: DataFrame, path: str, id_col: st
     """Save, reload, score both, join by id; max / mean |difference| and
     whether the predictions are identical."""
     model.write().overwrite().save(path)
-    again = PipelineModel.load(path)
+    return compare_predictions(model, PipelineModel.load(path), df, id_col, pred_col)
+
+
+def compare_predictions(model: PipelineModel, again: PipelineModel, df: DataFrame, id_col: str, pred_col: str = "prediction") -> DataFrame:
     a = model.transform(df).select(id_col, F.col(pred_col).alias("_a"))
     b = again.transform(df).select(id_col, F.col(pred_col).alias("_b"))
     j = a.join(b, id_col)

@@ -224,3 +224,75 @@ def exec_summary(df: DataFrame, key: str, risk_col: str, value: str) -> DataFram
             )
         ).alias("r")
     ).select("r.*")
+
+
+def summary_table(
+    scores: DataFrame, value: str, mark: float, clusters: DataFrame, models: DataFrame, classifiers: DataFrame, risks: DataFrame, group: str
+) -> DataFrame:
+    """``section, metric, value, share, name`` from the stored results of
+    other steps: the scored rows; ``clusters`` (label, n); ``models`` (model, r2,
+    mae); ``classifiers`` (model, f1, auc); ``risks`` (the group, pct_label).
+
+    Each part is an aggregate of one row (the result tables have a row a cluster,
+    model or group), so the table costs a pass over the scored rows and no more.
+    The best model is the one of the highest r2 (f1), the first by name among
+    equals; a part without rows gives null values."""
+
+    def cell(section: str, metric: str, val: Column, share: Column | None = None, name: Column | None = None) -> Column:
+        none = F.lit(None)
+        return F.struct(
+            F.lit(section).alias("section"),
+            F.lit(metric).alias("metric"),
+            val.cast("double").alias("value"),
+            (none if share is None else share).cast("double").alias("share"),
+            (none if name is None else name).cast("string").alias("name"),
+        )
+
+    rows, low = F.count(F.lit(1)), F.count_if(F.col(value) < mark)
+    parts = [
+        scores.agg(
+            F.array(
+                cell("dataset", "rows", rows, F.lit(100.0)),
+                cell("dataset", "at_risk", low, 100 * low / rows),
+                cell("dataset", "mean_value", F.avg(value)),
+            ).alias("c")
+        )
+    ]
+    total = F.sum("n")
+    sized = [(x, F.coalesce(F.sum(F.when(F.col("label") == x, F.col("n"))), F.lit(0))) for x in ("High", "Medium", "Low")]
+    parts.append(clusters.agg(F.array(*[cell("clusters", x.lower(), n, 100 * n / total) for x, n in sized]).alias("c")))
+
+    def best(by: str, what: str) -> Column:
+        # the first name among equals: the greatest value, then the least name
+        found = F.collect_list(F.struct((-F.col(by)).alias("k"), F.col("model").alias("m"), F.col(what).cast("double").alias("v")))
+        return F.get(F.sort_array(found), F.lit(0))
+
+    parts.append(
+        models.agg(
+            F.array(
+                cell("models", "best_r2", best("r2", "r2")["v"], name=best("r2", "r2")["m"]),
+                cell("models", "best_mae", best("r2", "mae")["v"], name=best("r2", "mae")["m"]),
+            ).alias("c")
+        )
+    )
+    parts.append(
+        classifiers.agg(
+            F.array(
+                cell("classifiers", "best_f1", best("f1", "f1")["v"], name=best("f1", "f1")["m"]),
+                cell("classifiers", "best_auc", best("f1", "auc")["v"], name=best("f1", "auc")["m"]),
+            ).alias("c")
+        )
+    )
+    by = F.struct(F.col("pct_label"), F.col(group))
+    parts.append(
+        risks.where(F.col(group).isNotNull()).agg(
+            F.array(
+                cell("risk", "highest", F.max("pct_label"), name=F.max_by(F.col(group), by)),
+                cell("risk", "lowest", F.min("pct_label"), name=F.min_by(F.col(group), by)),
+            ).alias("c")
+        )
+    )
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(F.explode("c").alias("r")).select("r.*")

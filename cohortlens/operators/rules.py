@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions.mathx import clip
@@ -69,6 +69,33 @@ RECOMMENDATIONS = [
     ("participation", "lt", 65, "Encourage class participation - Active participation improves learning"),
 ]
 
+# The brief set of the second dashboard.
+BRIEF_AT_RISK = [
+    "Immediate Intervention Required",
+    "Schedule academic counseling session",
+    "Implement personalized learning plan",
+    "Increase parent-teacher communication",
+]
+BRIEF_RISK_RULES = [
+    ("resources", "lt", 0.4, "Request additional learning materials"),
+    ("textbook", "lt", 0.4, "Provide access to digital textbooks"),
+    ("parental", "lt", 0.3, "Organize parent engagement workshop"),
+    ("ratio", "gt", 45, "Advocate for reduced class size"),
+    ("internet", "eq", "No", "Provide internet access support"),
+    ("electricity", "eq", "No", "Provide Electricity access support"),
+    ("health", "ne", "No Issue", "Arrange health support services"),
+]
+BRIEF_WELL = [
+    "Student is Performing Well",
+    "Predicted Overall Average: {score}",
+    "Risk Probability: {risk}% (Low)",
+    "Maintain current study habits",
+    "Encourage participation in extracurricular activities",
+]
+BRIEF_AREAS = "Areas for continued improvement:"
+BRIEF_ADDRESS = "Address {factor}"
+BRIEF_ALL_GOOD = "All performance indicators are positive"
+
 IMPROVEMENTS = [
     ("resources", "lt", 0.9, "Increase School Resources by 0.2", 2.5),
     ("attendance", "lt", 95, "Improve Attendance by 10%", 1.8),
@@ -150,6 +177,84 @@ def recommendations(roles: Mapping[str, str], score: Column, risk_prob: Column,
     return F.concat(head, _fired(RECOMMENDATIONS, roles))
 
 
+RULE = "rule_set string, seq int, at_risk boolean, if_factors boolean, role string, op string, number double, texts array<string>, message string"
+
+
+def rule_table(spark: SparkSession) -> DataFrame:
+    """Both recommendation sets as rows: a rule applies to rows at risk or not
+    (null: to all), to rows with risk factors or without (null: to all), and where
+    its test on a role holds (no role: always).  ``{score}``, ``{risk}`` and
+    ``{factor}`` in a message are filled in; one with ``{factor}`` is repeated for
+    each factor."""
+    rows: list[tuple] = []
+
+    def add(rule_set: str, message: str, at_risk: bool | None = None, if_factors: bool | None = None, test: tuple | None = None) -> None:
+        name, op, arg = test or (None, None, None)
+        number = float(arg) if isinstance(arg, (int, float)) else None
+        texts = [arg] if isinstance(arg, str) else list(arg) if isinstance(arg, tuple) else None
+        rows.append((rule_set, len(rows), at_risk, if_factors, name, op, number, texts, message))
+
+    for t in REC_AT_RISK:
+        add("detailed", t, True)
+    for t in (REC_WELL_HEAD, "Predicted Score: {score}", "Risk Probability: {risk}%", REC_WELL_TAIL):
+        add("detailed", t, False)
+    for name, op, arg, t in RECOMMENDATIONS:
+        add("detailed", t, test=(name, op, arg))
+    for t in BRIEF_AT_RISK:
+        add("brief", t, True)
+    for name, op, arg, t in BRIEF_RISK_RULES:
+        add("brief", t, True, test=(name, op, arg))
+    for t in BRIEF_WELL:
+        add("brief", t, False)
+    add("brief", BRIEF_AREAS, False, True)
+    add("brief", BRIEF_ADDRESS, False, True)
+    add("brief", BRIEF_ALL_GOOD, False, False)
+    return spark.createDataFrame(rows, RULE)
+
+
+def evaluate_rules(
+    df: DataFrame, table: DataFrame, rule_set: str, roles: Mapping[str, str], score: Column, risk_prob: Column, threshold: float = 0.5, out: str = "messages"
+) -> DataFrame:
+    """``df`` with the messages of the rules of a set that hold for each row, in
+    their order.  The table is data: its rules come to the rows as one small array
+    (they are a fixed list), so no row is multiplied or moved."""
+    fields = [c for c in table.columns if c not in ("rule_set",)]
+    ordered = F.sort_array(F.collect_list(F.struct(*fields))).alias("_rules")
+    rules = table.where(F.col("rule_set") == rule_set).agg(ordered)
+    names = list(ROLE_DEFAULTS)
+    numbers = [n for n in names if not isinstance(ROLE_DEFAULTS[n], str)]
+    number_of = F.create_map(*[x for n in numbers for x in (F.lit(n), role(roles, n).cast("double"))])
+    text_of = F.create_map(*[x for n in names if n not in numbers for x in (F.lit(n), role(roles, n).cast("string"))])
+    d = df.crossJoin(F.broadcast(rules)).withColumns(
+        {"_num": number_of, "_txt": text_of, "_factors": risk_factors(roles), "_risk": risk_prob > F.lit(threshold), "_s": _num_text(score), "_r": _num_text(risk_prob * 100)}
+    )
+
+    def holds(r: Column) -> Column:
+        v, t = F.try_element_at("_num", r["role"]), F.try_element_at("_txt", r["role"])
+        test = F.when(r["role"].isNull(), F.lit(True))
+        for op, cond in (
+            ("lt", v < r["number"]),
+            ("gt", v > r["number"]),
+            ("ge", v >= r["number"]),
+            ("le", v <= r["number"]),
+            ("eq", F.array_contains(r["texts"], t)),
+            ("in", F.array_contains(r["texts"], t)),
+            ("ne", ~F.array_contains(r["texts"], t)),
+        ):
+            test = test.when(r["op"] == op, cond)
+        fits = F.coalesce(r["at_risk"] == F.col("_risk"), F.lit(True))
+        some = F.coalesce(r["if_factors"] == (F.size("_factors") > 0), F.lit(True))
+        return fits & some & F.coalesce(test, F.lit(False))
+
+    def said(r: Column) -> Column:
+        plain = F.replace(F.replace(r["message"], F.lit("{score}"), F.coalesce("_s", F.lit(""))), F.lit("{risk}"), F.coalesce("_r", F.lit("")))
+        each = F.transform("_factors", lambda f: F.replace(plain, F.lit("{factor}"), F.lower(f)))
+        return F.when(r["message"].contains("{factor}"), each).otherwise(F.array(plain))
+
+    messages = F.flatten(F.transform(F.filter("_rules", holds), said))
+    return d.withColumn(out, messages).drop("_rules", "_num", "_txt", "_factors", "_risk", "_s", "_r")
+
+
 def risk_contributions(roles: Mapping[str, str], base: float = 0.3) -> dict[str, Column]:
     """Per-factor heuristic contributions and their clipped total around ``base``."""
     res = role(roles, "resources")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlens.operators import profile, segments, stats
-from cohortlens.operators.sizing import broadcast_if_small
+from cohortlens.operators import profile, report, segments, stats
+from cohortlens.operators.attribution import fit_linear
+from cohortlens.operators.sizing import broadcast_if_small, one_row
 from cohortlens.plans import fixtures as fx
 from cohortlens.plans.registry import finish, register
+from cohortlens.session import materialize
 from cohortlens.sources.tables import load
 
 CHARS_MARK = 2000
@@ -217,3 +219,49 @@ def regression_metrics_log(spark, sf):
     d = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(li.withColumn("ly", F.log1p("l_extendedprice")))
     m = LinearRegression(labelCol="ly", solver="normal", regParam=0.0, predictionCol="lp").fit(d)
     return finish(stats.log_scale_metrics(m.transform(d), "l_extendedprice", "lp"), 2)
+
+
+# ---------------------------------------------------------------- A27
+@register(
+    "summary_table",
+    sql=fx.with_ctes(fx.ORDER_PEOPLE_SQL, _RANK_SQL, LABELLED_SQL, _PER_SCORE_SQL)
+    + f""", reg AS (SELECT 'quantity' AS model, regr_slope(l_extendedprice, l_quantity) AS s, regr_intercept(l_extendedprice, l_quantity) AS i FROM lineitem
+  UNION ALL SELECT 'discount', regr_slope(l_extendedprice, l_discount), regr_intercept(l_extendedprice, l_discount) FROM lineitem),
+err AS (SELECT model, l_extendedprice AS y, i + s * CASE model WHEN 'quantity' THEN l_quantity ELSE l_discount END AS p FROM lineitem, reg),
+mod AS (SELECT model, 1 - sum((y - p) ** 2) / (count(*) * var_pop(y)) AS r2, avg(abs(y - p)) AS mae FROM err GROUP BY model),
+top AS (SELECT * FROM mod ORDER BY r2 DESC, model LIMIT 1),
+conf AS (SELECT count(*) FILTER (WHERE quality = 1 AND n_chars >= {CHARS_MARK}) AS tp, count(*) FILTER (WHERE quality <> 1 AND n_chars >= {CHARS_MARK}) AS fp,
+  count(*) FILTER (WHERE quality = 1 AND n_chars < {CHARS_MARK}) AS fn FROM ld),
+above AS (SELECT *, coalesce(sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos_above FROM per),
+auc AS (SELECT sum(neg * (pos_above + pos / 2)) / (sum(pos) * sum(neg)) AS auc FROM above),
+rr AS (SELECT r_name, 100 * avg(CAST(coalesce(label = 'Low', false) AS DOUBLE)) AS pct FROM order_people op LEFT JOIN lab ON op.o_orderstatus = lab.o_orderstatus
+  WHERE r_name IS NOT NULL GROUP BY r_name),
+cl AS (SELECT label, sum(n) AS n, sum(sum(n)) OVER () AS total FROM lab GROUP BY label)
+SELECT section, metric, round(value, 6) AS value, round(share, 6) AS share, name FROM (
+SELECT 'dataset' AS section, 'rows' AS metric, count(*)::DOUBLE AS value, 100.0::DOUBLE AS share, NULL::VARCHAR AS name FROM orders
+UNION ALL SELECT 'dataset', 'at_risk', count(*) FILTER (WHERE o_totalprice < 100000), 100.0 * count(*) FILTER (WHERE o_totalprice < 100000) / count(*), NULL FROM orders
+UNION ALL SELECT 'dataset', 'mean_value', avg(o_totalprice), NULL, NULL FROM orders
+UNION ALL SELECT 'clusters', lower(l), coalesce((SELECT n FROM cl WHERE label = l), 0), 100.0 * coalesce((SELECT n FROM cl WHERE label = l), 0) / (SELECT any_value(total) FROM cl), NULL
+  FROM (SELECT unnest(['High', 'Medium', 'Low']) AS l)
+UNION ALL SELECT 'models', 'best_r2', r2, NULL, model FROM top UNION ALL SELECT 'models', 'best_mae', mae, NULL, model FROM top
+UNION ALL SELECT 'classifiers', 'best_f1', 2 * tp / (2 * tp + fp + fn), NULL, 'length' FROM conf UNION ALL SELECT 'classifiers', 'best_auc', auc, NULL, 'length' FROM auc
+UNION ALL SELECT 'risk', 'highest', max(pct), NULL, arg_max(r_name, (pct, r_name)) FROM rr UNION ALL SELECT 'risk', 'lowest', min(pct), NULL, arg_min(r_name, (pct, r_name)) FROM rr)""",
+)
+def summary_table(spark, sf):
+    """The closing table from the stored results of clustering, regression,
+    classification and regional risk."""
+    orders = load(spark, sf, "orders")
+    ranked = materialize(segments.rank_labels(orders, "o_orderstatus", "o_totalprice"))
+    risks = materialize(segments.group_label_rate(segments.label_rows(fx.order_people(spark, sf), ranked, "o_orderstatus"), "r_name", "cluster_label"))
+    li = load(spark, sf, "lineitem")
+    models = None
+    for name in ("quantity", "discount"):
+        fit = fit_linear(li, [f"l_{name}"], "l_extendedprice")
+        predicted = li.withColumn("p", F.lit(fit.intercept) + F.lit(fit.coefficients[0]) * F.col(f"l_{name}"))
+        part = stats.regression_metrics(predicted, "l_extendedprice", "p").select(F.lit(name).alias("model"), "r2", "mae")
+        models = part if models is None else models.unionByName(part)
+    docs = labelled_docs(spark, sf).withColumn("pred", (F.col("n_chars") >= CHARS_MARK).cast("int"))
+    f1 = stats.classification_report(docs, "quality", "pred").select("f1")
+    auc = stats.roc_auc(docs, "quality", "n_chars").select("auc")
+    classifiers = materialize(f1.crossJoin(one_row(auc)).withColumn("model", F.lit("length")))
+    return finish(report.summary_table(orders, "o_totalprice", 100000, ranked.select("label", "n"), materialize(models), classifiers, risks, "r_name"))

@@ -7,6 +7,8 @@ linear fit also has an exact SQL oracle (``regr_slope`` / ``regr_intercept``).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -15,7 +17,9 @@ from pyspark.sql import functions as F
 from cohortlens.operators import models as ml
 from cohortlens.operators import split as sp
 from cohortlens.operators import stats
+from cohortlens.operators.attribution import fit_linear, local_attribution
 from cohortlens.operators.linear_cv import linear_cv
+from cohortlens.operators.model_record import load_model, save_model
 from cohortlens.plans.catalog.reshape import stage_features
 from cohortlens.plans.registry import finish, register
 from cohortlens.session import materialize, scratch_path
@@ -34,8 +38,9 @@ FEATURES = [
 ]
 TARGET = "Overall_Test_Score_Avg"
 RISK = "at_risk"
-#: Model sizes and search grids of the analysed average-score pipeline.
+#: Model sizes and search grids of the analysed average-score pipeline, and the sizes of its risk classifiers.
 RF_TREES, RF_DEPTH = 200, 10
+CLASSIFIER_TREES, CLASSIFIER_ROUNDS = 500, 500
 GBT_ITER, GBT_DEPTH, GBT_STEP, GBT_SUBSAMPLE = 200, 5, 0.05, 0.8
 LASSO_GRID = [10 ** (-3 + 4 * i / 19) for i in range(20)]
 RIDGE_GRID = [10 ** (-3 + 6 * i / 19) for i in range(20)]
@@ -47,7 +52,7 @@ def gbt_regressor(**more):
 
 
 def gbt_classifier(**more):
-    return GBTClassifier(maxIter=GBT_ITER, maxDepth=GBT_DEPTH, stepSize=GBT_STEP, subsamplingRate=GBT_SUBSAMPLE, seed=42, **more)
+    return GBTClassifier(maxIter=CLASSIFIER_ROUNDS, maxDepth=GBT_DEPTH, stepSize=GBT_STEP, seed=42, **more)
 
 
 def score_frame(spark, sf):
@@ -168,7 +173,7 @@ def classifier_compare(spark, sf):
     train = materialize(ml.smote(train, FEATURES, RISK, "c_custkey"))
     ests = {
         "logistic": LogisticRegression(maxIter=100),
-        "random_forest": RandomForestClassifier(numTrees=RF_TREES, maxDepth=RF_DEPTH, seed=42),
+        "random_forest": RandomForestClassifier(numTrees=CLASSIFIER_TREES, maxDepth=RF_DEPTH, seed=42),
         "gradient_boosting": gbt_classifier(),
     }
     table, _ = ml.classifier_compare(train, test, FEATURES, RISK, ests)
@@ -212,6 +217,22 @@ def linear_attribution(spark, sf):
     return finish(glob)
 
 
+@register(
+    "linear_attribution_local",
+    sql="""WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS a, l_discount::DOUBLE AS b, l_extendedprice::DOUBLE AS y FROM lineitem),
+m AS (SELECT avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS bby FROM x),
+w AS (SELECT *, (ay * vb - bby * ab) / (va * vb - ab * ab) AS wa, (bby * va - ay * ab) / (va * vb - ab * ab) AS wb FROM m),
+c AS (SELECT l_orderkey, l_linenumber, wa * (a - ma) AS ca, wb * (b - mb) AS cb FROM x, w)
+SELECT l_orderkey, l_linenumber, CASE WHEN abs(ca) >= abs(cb) THEN 'l_quantity' ELSE 'l_discount' END AS feature,
+       round(CASE WHEN abs(ca) >= abs(cb) THEN ca ELSE cb END, 4) AS contribution, round(greatest(abs(ca), abs(cb)) / (abs(ca) + abs(cb)), 4) AS share FROM c""",
+)
+def linear_attribution_local(spark, sf):
+    """Every line's largest contribution to its predicted price (two-feature least squares)."""
+    li = load(spark, sf, "lineitem")
+    fit = fit_linear(li, ["l_quantity", "l_discount"], "l_extendedprice")
+    return finish(local_attribution(li, fit, ["l_orderkey", "l_linenumber"], top=1).drop("rank"), 4)
+
+
 # ---------------------------------------------------------------- L11 / D11
 @register("kmeans_profile")
 def kmeans_profile(spark, sf):
@@ -254,7 +275,10 @@ def blend(spark, sf):
 # ---------------------------------------------------------------- L15
 @register("save_reload_check")
 def save_reload_check(spark, sf):
+    """A model stored with its record, loaded again through the record's checks."""
     train, test = _split(spark, sf)
     model = ml.assemble_model(FEATURES, gbt_regressor(labelCol=TARGET, featuresCol="features")).fit(train)
-    path = scratch_path(spark, f"models/gbt_{abs(hash(sf)) % 10**8}")
-    return finish(ml.save_reload_check(model, test, path, "c_custkey"))
+    path = scratch_path(spark, f"models/gbt_{uuid.uuid4().hex}")
+    save_model(model, path, "gradient_boosting", FEATURES, TARGET, train)
+    again, _ = load_model(path, test, TARGET, FEATURES)
+    return finish(ml.compare_predictions(model, again, test, "c_custkey"))
\ No newline at end of file

@@ -105,6 +105,33 @@ def recommendations(spark, sf):
     return d.select("c_custkey", F.concat_ws(" | ", rules.recommendations(ROLES, score, risk)).alias("recommendations"))
 
 
+def _quoted(text: str) -> str:
+    number = {"{score}": "CAST(round(score, 1) AS VARCHAR)", "{risk}": "CAST(round(risk * 100, 1) AS VARCHAR)"}
+    for mark, sql in number.items():
+        if mark in text:
+            a, b = text.split(mark)
+            return f"'{a}' || {sql} || '{b}'"
+    return f"'{text}'"
+
+
+_FACTORS_SQL = _fired_sql([(r, op, a, rules.BRIEF_ADDRESS.replace("{factor}", t.lower())) for r, op, a, t in rules.RISK_FACTORS])
+
+
+@register(
+    "recommendations_brief",
+    sql=BASE_SQL
+    + f"""SELECT c_custkey, CASE WHEN risk > 0.5 THEN concat_ws(' | ', '{" | ".join(rules.BRIEF_AT_RISK)}', nullif({_fired_sql(rules.BRIEF_RISK_RULES)}, ''))
+  ELSE concat_ws(' | ', {", ".join(map(_quoted, rules.BRIEF_WELL))},
+    CASE WHEN {_FACTORS_SQL} <> '' THEN '{rules.BRIEF_AREAS} | ' || {_FACTORS_SQL} ELSE '{rules.BRIEF_ALL_GOOD}' END) END AS recommendations FROM scr""",
+)
+def recommendations_brief(spark, sf):
+    """The second set, from the rule table."""
+    d = score_inputs(spark, sf)
+    score, risk = _fallback(SCORE_ROLES)
+    got = rules.evaluate_rules(d, rules.rule_table(spark), "brief", ROLES, score, risk)
+    return got.select("c_custkey", F.concat_ws(" | ", "messages").alias("recommendations"))
+
+
 # ---------------------------------------------------------------- L19
 def _contrib_sql() -> str:
     res, att, hw, part = (_role_sql("resources"), _role_sql("attendance"), _role_sql("homework"), _role_sql("participation"))

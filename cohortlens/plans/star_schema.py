@@ -5,16 +5,18 @@ school, lineitem months = grades)."""
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens import config
-from cohortlens.functions.categorize import tier_bin
+from cohortlens.functions.categorize import subject_category, tier_bin
 from cohortlens.operators import clean, report
 from cohortlens.operators import reshape as rs
 from cohortlens.operators.sizing import broadcast_if_small
 from cohortlens.plans import fixtures as fx
+from cohortlens.session import scratch_path
 from cohortlens.sources.io import write_tables
 from cohortlens.sources.tables import load
 
@@ -35,80 +37,85 @@ def grade_dim(spark: SparkSession) -> DataFrame:
     return g.select("Grade_Level", cyc.alias("Cycle"), stg.alias("Stage"))
 
 
-def behaviour_fact(spark: SparkSession, sf: str, cells_df: DataFrame | None = None) -> DataFrame:
-    from cohortlens.functions.categorize import subject_category
-    from cohortlens.plans.catalog.core import NUMERIC4
-
-    wide = fx.customer_wide(spark, sf, NUMERIC4, cells_df)
-    long = rs.wide_to_long(wide, ["c_custkey"], NUMERIC4)
+def behaviour_fact(cells_df: DataFrame) -> DataFrame:
+    """The long fact straight from the per-cell aggregate: what the wide pivot and
+    its unpivot give, without going through hundreds of columns."""
+    metrics = F.array(*[F.struct(F.lit(m).alias("Metric"), F.col(m).alias("Value")) for m in rs.NUMERIC_METRICS])
+    long = cells_df.select(
+        F.col("cid").alias("c_custkey"),
+        F.col("grade").cast("int").alias("Grade_Level"),
+        F.regexp_replace("subject", "_", " ").alias("Subject"),
+        F.explode(metrics).alias("_m"),
+    ).select("c_custkey", "Grade_Level", "Subject", "_m.Metric", "_m.Value")
+    long = long.where(F.col("Value").between(0.0, 100.0))
     return long.withColumn("Category", subject_category("Subject"))
 
 
-def star_tables(
-    spark: SparkSession, sf: str, behaviour: DataFrame | None = None, cells_df: DataFrame | None = None
-) -> dict[str, DataFrame]:
-    """All tables of the schema; ``behaviour`` may be the already written fact and
-    ``cells_df`` the stored per-cell aggregate both wide pivots start from."""
+def summary(students: DataFrame, key: str) -> DataFrame:
+    return report.group_count_mean(students, key, SCORE, "c_custkey")
+
 
+def star_tables(spark: SparkSession, sf: str, behaviour: DataFrame, textbook: DataFrame, exams: DataFrame) -> dict[str, DataFrame]:
+    """All tables of the schema from the stored facts."""
     people = fx.people(spark, sf).withColumn(SCORE, F.col("c_acctbal") / 100)
     students = clean.dedupe_first(people, ["c_custkey"], ["c_name"])
     students = clean.in_range(students, SCORE, 0, 100).withColumn("Performance_Tier", tier_bin(SCORE))
     schools = clean.dedupe_first(load(spark, sf, "supplier"), ["s_suppkey"], ["s_name"])
-    behaviour = behaviour if behaviour is not None else behaviour_fact(spark, sf, cells_df)
     tests = behaviour.where(F.col("Metric") == "Test_Score")
-    subject_perf = report.group_stats(tests, ["Grade_Level", "Subject", "Category"], "Value")
-    student_avg = students.select("c_custkey", "c_name", "r_name").join(
-        report.per_key_mean(tests, "c_custkey", "Value", "Academic_Avg"), "c_custkey", "left"
-    )
-    att_vs_score = rs.long_to_wide(
-        behaviour.where(F.col("Metric").isin("Attendance", "Test_Score")),
-        ["c_custkey", "Grade_Level", "Subject"],
-        "Metric",
-        ["Attendance", "Test_Score"],
-        "Value",
-    )
-    exams = rs.exam_long(fx.exam_wide(spark, sf), ["user_id"], "Exam_")
-    summaries = report.grouping_summaries(students, ["r_name", "c_mktsegment", "n_name"], "c_custkey", SCORE)
-    li = load(spark, sf, "lineitem")
-    school_summary = report.group_count_mean(li, "l_suppkey", "l_quantity")
-    school_summary = school_summary.join(
-        broadcast_if_small(schools.select("s_suppkey", "s_name", "s_nationkey")), school_summary.l_suppkey == F.col("s_suppkey"), "left"
-    ).drop("s_suppkey")
+    academic = report.per_key_mean(tests, "c_custkey", "Value", "Academic_Avg")
+    pairs = behaviour.where(F.col("Metric").isin("Attendance", "Test_Score"))
+    by_school = report.group_count_mean(load(spark, sf, "lineitem"), "l_suppkey", "l_quantity")
+    names = schools.select("s_suppkey", "s_name", "s_nationkey")
+    by_school = by_school.join(broadcast_if_small(names), by_school.l_suppkey == F.col("s_suppkey"), "left").drop("s_suppkey")
+    rows = F.count(F.lit(1))
+    passed = F.coalesce(F.col(SCORE) >= config.PASS_MARK, F.lit(False)).cast("int")
     quality = report.quality_report(
         [
-            ("students", students, F.count(F.lit(1))),
-            ("schools", schools, F.count(F.lit(1))),
-            ("behaviour_records", behaviour, F.count(F.lit(1))),
-            ("mean_score", students, F.avg(SCORE)),
-            ("pass_rate", students, 100 * F.avg(F.coalesce(F.col(SCORE) >= config.PASS_MARK, F.lit(False)).cast("int"))),
+            ("Students", students, rows),
+            ("Schools", schools, rows),
+            ("Behavior Rows", behaviour, rows),
+            ("National Rows", exams, rows),
+            ("Textbook Rows", textbook, rows),
+            ("Avg Score", students, F.round(F.avg(SCORE), 2)),
+            ("Pass Rate", students, F.round(100 * F.avg(passed), 2)),
+            ("Test Score Records", tests, rows),
         ]
     )
     return {
         "00_quality_report": quality,
-        "01_students": students,
+        "01_students": students.join(academic, "c_custkey", "left"),
         "02_schools": schools,
         "03_grades": grade_dim(spark),
         "04_behavior": behaviour,
-        "05_subject_performance": subject_perf,
-        "06_textbook": rs.textbook_long(fx.customer_wide(spark, sf, ["Textbook"], cells_df), ["c_custkey"]),
-        "07_student_avg": student_avg,
-        "08_attendance_vs_score": att_vs_score,
-        "09_national_exam": exams,
-        "10_summaries": summaries,
-        "11_school_summary": school_summary,
+        "05_subject_performance": report.group_stats(tests, ["Grade_Level", "Subject", "Category"], "Value"),
+        "06_national_exams": exams,
+        "07_region": summary(students, "r_name"),
+        "08_segment": summary(students, "c_mktsegment"),
+        "09_nation": summary(students, "n_name"),
+        "10_textbook": textbook,
+        "11_attendance_correlation": rs.long_to_wide(
+            pairs, ["c_custkey", "Grade_Level", "Subject"], "Metric", ["Attendance", "Test_Score"], "Value"
+        ),
+        "12_school_performance": by_school,
     }
 
 
-def write_star_schema(spark: SparkSession, sf: str, base: str, fmt: str = "parquet") -> dict[str, int]:
-    """Write every table.  The behaviour fact feeds four outputs, so it is
-    written first and the others are built from the stored copy (no recompute
-    of the wide pivot, and a lineage cut that survives lost executors)."""
-    cells_path = os.path.join(base, "_cells")
-    fx.cells(spark, sf).write.mode("overwrite").parquet(cells_path)  # shared by the two wide pivots
-    cells_df = spark.read.parquet(cells_path)
-    counts = write_tables({"04_behavior": behaviour_fact(spark, sf, cells_df)}, base, fmt)
-    stored = spark.read.format(fmt).load(os.path.join(base, "04_behavior")) if fmt != "csv" else None
-    tables = star_tables(spark, sf, stored, cells_df)
-    tables.pop("04_behavior")
-    counts.update(write_tables(tables, base, fmt))
-    return counts
+def write_star_schema(spark: SparkSession, sf: str, base: str, fmt: str = "parquet") -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Write every table under ``base``; the manifest and the frames written.
+
+    The cell aggregate and the three facts that others are made of are stored in
+    the scratch folder first, outside what is delivered, whatever the format of
+    the delivery: no pivot is computed twice, and lost executors cost no more
+    than their own tasks."""
+    held = scratch_path(spark, f"star-facts/{uuid.uuid4().hex}")
+
+    def store(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(os.path.join(held, name))
+        return spark.read.schema(df.schema).parquet(os.path.join(held, name))
+
+    cells = store("cells", fx.cells(spark, sf))
+    behaviour = store("behaviour", behaviour_fact(cells))
+    textbook = store("textbook", rs.textbook_long(fx.customer_wide(spark, sf, ["Textbook"], cells), ["c_custkey"]))
+    exams = store("exams", rs.exam_long(fx.exam_wide(spark, sf), ["user_id"], "Exam_"))
+    tables = star_tables(spark, sf, behaviour, textbook, exams)
+    return write_tables(spark, tables, base, fmt), tables
