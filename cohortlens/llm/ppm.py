@@ -11,11 +11,14 @@ A text is scored as its token sequence: A-Z lower-cased, words parted by one
 blank, then an end symbol.  Beside the model's code length stands a base: add-one
 unigram probabilities of the same tokens.
 
-All counts are grouped aggregations over every training document.  The longest
-sequences' counts are broadcast, at most ``MAX_ENTRIES``, and each Python worker
-builds the trie of them once; should the corpus have more, the rarest are left
-out by raising the least count, and their symbols escape.  Word
-counts stay distributed: only the ``FREQUENT`` commonest words are broadcast,
+All counts are grouped aggregations over every training document.  Each Python
+worker builds a trie of broadcast counts once.  While the corpus has at most
+``MAX_ENTRIES`` sequences that trie is the model.  Beyond, it is a cache of whole
+contexts, the commonest of each order with all their symbols and full counts: a
+symbol whose contexts it holds costs exactly what the model says, and the others
+are joined with the distributed tables of all contexts (``context_levels``), so
+the model grows with the corpus and the scores don't depend on the cache.  Word
+counts stay distributed alike: the ``FREQUENT`` commonest words are broadcast,
 each other word of a document is joined with its count.
 """
 
@@ -189,6 +192,7 @@ class Trie:
     log_rest: np.ndarray  # log T of the next shorter context without this one's symbols
     log_rest_escape: np.ndarray  # escape of that
     log_unseen: float  # of each byte never seen
+    whole: tuple[bool, ...]  # per order: whether every context of the corpus is in the trie
 
 
 def _grouped(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,33 +209,41 @@ def build_trie(codes: np.ndarray, n: np.ndarray, order: int) -> Trie:
         mask = _U((1 << (8 * (k + 1))) - 1)
         codes, n = _grouped(codes & mask, n)
         levels.append((k, codes, n))
-    keys, log_p, log_count, c_keys, esc, rest, rest_esc = [], [], [], [], [], [], []
+    parts = []
     for (k, code, count), shorter in zip(levels, [*levels[1:], None], strict=True):
         context = code >> _U(8)
         first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
         total, kinds = np.add.reduceat(count, first), np.diff(np.append(first, len(code)))
         owner = np.repeat(np.arange(len(first)), kinds)
-        keys.append(code * _U(8) + _U(k))
-        log_p.append(np.log10((count - 0.5) / total[owner]))
-        log_count.append(np.log10(count - 0.5))
-        c_keys.append(context[first] * _U(8) + _U(k))
-        esc.append(np.log10(0.5 * kinds / total))
+        t, d = np.zeros(len(first)), np.zeros(len(first))
         if shorter is None:
-            rest.append(np.zeros(len(first)))
-            rest_esc.append(np.zeros(len(first)))
             unseen = _SYMBOLS - len(code)
-            continue
-        _, code1, count1 = shorter
-        at = np.searchsorted(code1, code & _U((1 << (8 * k)) - 1))
-        taken = np.add.reduceat(count1[at], first)
-        context1 = code1 >> _U(8)
-        first1 = np.flatnonzero(np.concatenate(([True], context1[1:] != context1[:-1])))
-        total1, kinds1 = np.add.reduceat(count1, first1), np.diff(np.append(first1, len(code1)))
-        up = np.searchsorted(context1[first1], context[first] & _U((1 << (8 * (k - 1))) - 1) if k > 0 else context[first])
-        t, d = total1[up] - taken, kinds1[up] - kinds
-        some = d > 0
-        rest.append(np.where(some, np.log10(np.maximum(t, 1)), 0.0))
-        rest_esc.append(np.where(some, np.log10(0.5 * np.maximum(d, 1) / np.maximum(t, 1)), 0.0))
+        else:
+            _, code1, count1 = shorter
+            at = np.searchsorted(code1, code & _U((1 << (8 * k)) - 1))
+            taken = np.add.reduceat(count1[at], first)
+            context1 = code1 >> _U(8)
+            first1 = np.flatnonzero(np.concatenate(([True], context1[1:] != context1[:-1])))
+            total1, kinds1 = np.add.reduceat(count1, first1), np.diff(np.append(first1, len(code1)))
+            up = np.searchsorted(context1[first1], context[first] & _U((1 << (8 * (k - 1))) - 1) if k > 0 else context[first])
+            t, d = total1[up] - taken, kinds1[up] - kinds
+        parts.append((k, code, count, total[owner], context[first], total, kinds, t, d))
+    return _assembled(order, parts, unseen, (True,) * (order + 1))
+
+
+def _assembled(order: int, parts: list[tuple], unseen: int, whole: tuple[bool, ...]) -> Trie:
+    """From, per order: entries with their counts and their contexts' totals; and
+    contexts with totals, kinds, and both of the next shorter one less their own symbols."""
+    keys, log_p, log_count, c_keys, esc, rest, rest_esc = [], [], [], [], [], [], []
+    for k, code, count, total, context, t, d, rt, rd in parts:
+        keys.append(code * _U(8) + _U(k))
+        log_p.append(np.log10((count - 0.5) / total))
+        log_count.append(np.log10(count - 0.5))
+        c_keys.append(context * _U(8) + _U(k))
+        esc.append(np.log10(0.5 * d / t))
+        some = rd > 0
+        rest.append(np.where(some, np.log10(np.maximum(rt, 1)), 0.0))
+        rest_esc.append(np.where(some, np.log10(0.5 * np.maximum(rd, 1) / np.maximum(rt, 1)), 0.0))
     entries, where = HashTable.of(np.concatenate(keys))
     contexts, c_where = HashTable.of(np.concatenate(c_keys))
 
@@ -251,11 +263,13 @@ def build_trie(codes: np.ndarray, n: np.ndarray, order: int) -> Trie:
         placed(rest, c_where, c),
         placed(rest_esc, c_where, c),
         -float(np.log10(unseen)) if unseen > 0 else 0.0,
+        whole,
     )
 
 
 def code_lengths(trie: Trie, codes: np.ndarray) -> np.ndarray:
-    """log10 probability of every symbol of ``symbol_codes``."""
+    """log10 probability of every symbol of ``symbol_codes``; NaN where the trie
+    doesn't hold a context that decides it."""
     out = np.zeros(len(codes))
     open_ = np.arange(len(codes))
     rest = rest_escape = None  # of the open symbols, once a longer context was left by an escape
@@ -273,6 +287,9 @@ def code_lengths(trie: Trie, codes: np.ndarray) -> np.ndarray:
             return out
         c = trie.contexts.find((code >> _U(8)) * _U(8) + _U(k))
         known = c >= 0
+        if not trie.whole[k] and not known.all():
+            out[open_[~known]] = np.nan
+            open_, left, rest_escape, c, known = open_[known], left[known], rest_escape[known], c[known], known[known]
         out[open_] += np.where(known, np.where(left, rest_escape, trie.log_escape[c]), 0.0)
         rest, rest_escape = np.where(known, trie.log_rest[c], 0.0), np.where(known, trie.log_rest_escape[c], 0.0)
         left = known
@@ -280,29 +297,134 @@ def code_lengths(trie: Trie, codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of all sequences of ``order + 1`` symbols of ``docs``
-    (doc_id, text), or of the ``max_entries`` commonest: what a trie is built of."""
+@dataclass
+class Level:
+    """The distributed tables of one order: ``entries`` (code, n) and ``contexts``
+    (context, t, d, rt, rd): symbols counted after the context and distinct ones,
+    and those of the next shorter context without this one's symbols."""
+
+    order: int
+    entries: DataFrame
+    contexts: DataFrame
+
+
+def _low(column: str, n_bytes: int):
+    return F.col(column).bitwiseAND(F.lit((1 << (8 * n_bytes)) - 1))
+
+
+def context_levels(grams: DataFrame, order: int) -> list[Level]:
+    """Levels ``order`` to 0 of all sequences counted.  An aggregate and two joins
+    an order; no key of these joins has more than 256 rows."""
+    entries = {order: grams.select("code", "n")}
+    for k in range(order - 1, -1, -1):
+        entries[k] = stored(entries[k + 1].groupBy(_low("code", k + 1).alias("code")).agg(F.sum("n").alias("n")))
+    sums = {
+        k: stored(e.groupBy(F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("d"))) for k, e in entries.items()
+    }
+    out = []
+    for k in range(order, -1, -1):
+        if k == 0:
+            full = sums[0].withColumns({"rt": F.lit(0).cast("bigint"), "rd": F.lit(0).cast("bigint")})
+        else:
+            mine = entries[k].select(F.shiftright("code", 8).alias("context"), _low("code", k).alias("short"))
+            short = entries[k - 1].select(F.col("code").alias("short"), F.col("n").alias("n1"))
+            taken = mine.join(short, "short").groupBy("context").agg(F.sum("n1").alias("taken"))
+            above = sums[k - 1].select(F.col("context").alias("up"), F.col("t").alias("t1"), F.col("d").alias("d1"))
+            full = sums[k].join(taken, "context").withColumn("up", _low("context", k - 1)).join(above, "up")
+            full = full.select("context", "t", "d", (F.col("t1") - F.col("taken")).alias("rt"), (F.col("d1") - F.col("d")).alias("rd"))
+        out.append(Level(k, entries[k], stored(full)))
+    return out
+
+
+def cached_levels(levels: list[Level], max_entries: int) -> tuple[list[tuple], int, tuple[bool, ...]]:
+    """Of each order the commonest contexts that have at most ``max_entries``
+    symbols in all, for ``_assembled``; the bytes never seen; which orders are whole."""
+    parts, whole, unseen = [], {}, _SYMBOLS
+    for level in levels:
+        # a context's symbols are at most 256, so quarter powers of two cut finely enough
+        band = F.floor(F.log2("t") * 4).cast("int")
+        bands = level.contexts.groupBy(band.alias("b")).agg(F.sum("d").alias("d")).collect()  # some 250 rows at most
+        least, room = None, max_entries
+        for r in sorted(bands, key=lambda r: -r["b"]):
+            if r["d"] > room:
+                break
+            least, room = r["b"], room - r["d"]
+        whole[level.order] = least is not None and least == min(r["b"] for r in bands)
+        kept = level.contexts.where(band >= least) if least is not None else level.contexts.limit(0)
+        kept = stored(kept)
+        rows = level.entries.withColumn("context", F.shiftright("code", 8)).join(kept.select("context", "t"), "context").select("code", "n", "t").toArrow()
+        ctx = kept.toArrow()
+        code, context = (t.column(c).to_numpy().astype(np.int64).view(_U) for t, c in ((rows, "code"), (ctx, "context")))
+        n, t = (rows.column(c).to_numpy().astype(np.float64) for c in ("n", "t"))
+        parts.append((level.order, code, n, t, context, *(ctx.column(c).to_numpy().astype(np.float64) for c in ("t", "d", "rt", "rd"))))
+        if level.order == 0:
+            unseen = _SYMBOLS - level.entries.count()
+    return parts, unseen, tuple(whole[k] for k in range(levels[0].order + 1))
+
+
+def distributed_lengths(codes: DataFrame, levels: list[Level]) -> DataFrame:
+    """``code, log`` of distinct codes from the tables of all contexts: the same
+    steps as ``code_lengths``, a join with entries and contexts an order."""
+    single = lambda c: c.cast("float").cast("double")  # noqa: E731 - the trie holds single precision
+    zero = F.lit(0.0)
+    state = codes.select("code", zero.alias("out"), F.lit(False).alias("done"), F.lit(False).alias("left"), zero.alias("rest"), zero.alias("esc"))
+    for level in levels:
+        k = level.order
+        e = level.entries.select(F.col("code").alias("_code"), F.col("n").alias("_n"))
+        c = level.contexts.select(F.col("context").alias("_ctx"), "t", "d", "rt", "rd")
+        j = state.withColumns({"_code": _low("code", k + 1), "_ctx": F.shiftright(_low("code", k + 1), 8)})
+        j = j.join(e, "_code", "left").join(c, "_ctx", "left")
+        hit, known, some = F.col("_n").isNotNull(), F.col("t").isNotNull(), F.col("rd") > 0
+        found = F.when(F.col("left"), single(F.log10(F.col("_n") - 0.5)) - F.col("rest")).otherwise(single(F.log10((F.col("_n") - 0.5) / F.col("t"))))
+        escape = F.when(~known, zero).when(F.col("left"), F.col("esc")).otherwise(single(F.log10(F.lit(0.5) * F.col("d") / F.col("t"))))
+        rest = F.when(known & some, single(F.log10(F.greatest(F.col("rt"), F.lit(1)).cast("double")))).otherwise(zero)
+        esc = F.when(known & some, single(F.log10(F.lit(0.5) * F.col("rd") / F.greatest(F.col("rt"), F.lit(1))))).otherwise(zero)
+        state = stored(
+            j.select(
+                "code",
+                F.when(F.col("done"), F.col("out")).when(hit, F.col("out") + found).otherwise(F.col("out") + escape).alias("out"),
+                (F.col("done") | hit).alias("done"),
+                known.alias("left"),
+                rest.alias("rest"),
+                esc.alias("esc"),
+            )
+        )
+    unseen = _SYMBOLS - levels[-1].entries.count()
+    never = F.lit(-float(np.log10(unseen)) if unseen > 0 else 0.0)
+    return state.select("code", F.when(F.col("done"), F.col("out")).otherwise(F.col("out") + never).alias("log"))
+
+
+@dataclass
+class Model:
+    """What the workers build the trie of, and the levels where it isn't whole."""
+
+    grams: tuple[np.ndarray, np.ndarray] | None
+    cached: tuple[list[tuple], int, tuple[bool, ...]] | None
+    levels: list[Level] | None
+
+
+def train(docs: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES) -> Model:
+    """The model of all sequences of ``order + 1`` symbols of ``docs`` (doc_id, text)."""
     grams = stored(gram_counts(docs, order))
-    by_count = grams.groupBy(F.least("n", F.lit(1000)).alias("least")).agg(F.count(F.lit(1)).alias("entries")).collect()
-    sizes = {r["least"]: r["entries"] for r in by_count}
-    least = 1
-    while sum(v for k, v in sizes.items() if k >= least) > max_entries:
-        least += 1
-    kept = grams.where(F.col("n") >= least) if least <= 1000 else grams.orderBy(F.desc("n"), "code").limit(max_entries)
-    table = kept.toArrow()
-    return table.column("code").to_numpy().astype(np.int64).view(_U), table.column("n").to_numpy().astype(np.int64)
+    if grams.count() <= max_entries:
+        table = grams.toArrow()
+        return Model((table.column("code").to_numpy().astype(np.int64).view(_U), table.column("n").to_numpy().astype(np.int64)), None, None)
+    levels = context_levels(grams, order)
+    return Model(None, cached_levels(levels, max_entries), levels)
 
 
 _MODEL: dict[str, tuple[Trie | None, dict[bytes, float]]] = {}
 
 
-def _model(name: str, grams: tuple, words: tuple, order: int) -> tuple[Trie | None, dict[bytes, float]]:
+def _model(name: str, grams: tuple | None, cached: tuple | None, words: tuple, order: int) -> tuple[Trie | None, dict[bytes, float]]:
     """The worker's trie and log counts of frequent words, made once."""
     if name not in _MODEL:
         _MODEL.clear()
-        codes, n = grams
-        trie = build_trie(codes, n.astype(np.float64), order) if len(codes) else None
+        trie = None
+        if cached is not None:
+            trie = _assembled(order, *cached)
+        elif len(grams[0]):
+            trie = build_trie(grams[0], grams[1].astype(np.float64), order)
         _MODEL[name] = trie, dict(zip(words[0].to_pylist(), np.log10(words[1] + 1).tolist(), strict=True))
     return _MODEL[name]
 
@@ -329,14 +451,14 @@ def score_documents(
     read = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
     training = read.where(~held)
-    grams = train(training, order, max_entries)
+    model = train(training, order, max_entries)
     words = stored(word_counts(training))
     total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = training.count()
     big_n, v = (total["n"] or 0) + ends, total["v"] + (ends > 0)
     top = words.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
     common = top.column("word").combine_chunks(), top.column("n").to_numpy().astype(np.int64)
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, grams, common, order))
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, model.grams, model.cached, common, order))
     per_token, end_log = float(np.log10(big_n + v + 1)), float(np.log10(ends + 1))
     uniform = -float(np.log10(_SYMBOLS))
 
@@ -346,7 +468,8 @@ def score_documents(
             for ids, run in _runs(batch):
                 codes, stops = symbol_codes(run, order)
                 logs = code_lengths(trie, codes) if trie else np.full(len(codes), uniform)
-                sums = np.diff(np.concatenate(([0.0], np.cumsum(logs)))[np.concatenate(([0], stops))])
+                sums = np.diff(np.concatenate(([0.0], np.cumsum(np.nan_to_num(logs))))[np.concatenate(([0], stops))])
+                away = [np.unique(c[np.isnan(x)].view(np.int64), return_counts=True) for c, x in zip(np.split(codes, stops[:-1]), np.split(logs, stops[:-1]), strict=True)]
                 n, found, base, misses = [], [], [], []
                 for d in run:
                     hits = [known[w] for w in d if w in known]
@@ -363,18 +486,22 @@ def score_documents(
                         pa.array(base, pa.float64()),
                         pa.array(sums),
                         pa.array(misses, pa.list_(pa.binary())),
+                        pa.array([c for c, _ in away], pa.list_(pa.int64())),
+                        pa.array([t for _, t in away], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "misses"],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "misses", "codes", "times"],
                 )
 
-    kinds = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, misses array<binary>"
-    scored = stored(read.mapInArrow(score, kinds))
-    rare = scored.where(F.size("misses") > 0).select("doc_id", F.explode("misses").alias("word")).join(words, "word")
-    of_rare = rare.groupBy("doc_id").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("add"))
-    # a repeated document's rare words were summed over all its copies
-    copies = scored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    of_rare = of_rare.join(copies, "doc_id").select("doc_id", (F.col("more") / F.col("copies")).cast("bigint").alias("more"), (F.col("add") / F.col("copies")).alias("add"))
-    return scored.join(of_rare, "doc_id", "left").select(
+    kinds = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, misses array<binary>, codes array<bigint>, times array<bigint>"
+    scored = stored(read.mapInArrow(score, kinds).withColumn("row", F.monotonically_increasing_id()))
+    if model.levels is not None:
+        away = stored(scored.where(F.size("codes") > 0).select("row", F.explode(F.arrays_zip("codes", "times")).alias("x")).select("row", "x.*"))
+        lengths = distributed_lengths(away.select(F.col("codes").alias("code")).distinct(), model.levels).withColumnRenamed("code", "codes")
+        far = away.join(lengths, "codes").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("far"))
+        scored = stored(scored.join(far, "row", "left").withColumn("score", F.col("score") + F.coalesce("far", F.lit(0.0))).drop("far"))
+    rare = scored.where(F.size("misses") > 0).select("row", F.explode("misses").alias("word")).join(words, "word")
+    of_rare = rare.groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("add"))
+    return scored.join(of_rare, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

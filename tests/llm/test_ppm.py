@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from cohortlens.llm.ppm import build_trie, code_lengths, score_documents, symbol_codes, tokens
+from cohortlens.llm.ppm import _assembled, build_trie, cached_levels, code_lengths, context_levels, score_documents, symbol_codes, tokens
 
 
 def _direct(train, texts, order):
@@ -96,10 +96,37 @@ def test_model_beats_the_base_on_held_out_documents(spark, sf_small):
     assert len(rows) > 50 and sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
-def test_smaller_trie_still_scores_everything(spark, sf_small):
+@pytest.mark.parametrize("max_entries", [0, 3000, 60_000])
+def test_scores_dont_depend_on_the_cache(spark, sf_small, max_entries):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet")
-    rows = score_documents(docs, max_entries=3000).collect()
-    assert len(rows) == docs.count() and all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows)
+    want = {r["doc_id"]: r for r in score_documents(docs).collect()}
+    got = {r["doc_id"]: r for r in score_documents(docs, max_entries=max_entries).collect()}
+    assert set(got) == set(want) and len(got) == docs.count()
+    for i, r in got.items():
+        assert r["score"] == pytest.approx(want[i]["score"], rel=1e-7, abs=1e-6)
+        assert r[:6] == want[i][:6]
+
+
+def test_cache_holds_whole_contexts(spark):
+    grams = spark.createDataFrame([(int(c), int(n)) for c, n in zip(*np.unique(symbol_codes([tokens(t) for t in TEXTS], 3)[0], return_counts=True))], "code bigint, n bigint")
+    parts, unseen, whole = cached_levels(context_levels(grams, 3), 25)
+    assert whole[0] and not whole[3] and 0 < unseen < 256
+    codes = np.array([r["code"] for r in grams.collect()], np.uint64)
+    n = np.array([r["n"] for r in grams.collect()], float)
+    full, cache = build_trie(codes, n, 3), _assembled(3, parts, unseen, whole)
+    asked, _ = symbol_codes([tokens(t) for t in [*TEXTS, "a new text xyz"]], 3)
+    a, b = code_lengths(full, asked), code_lengths(cache, asked)
+    known = ~np.isnan(b)
+    assert (a[known] == b[known]).all() and 0.02 < known.mean() < 1 and not np.isnan(a).any()
+
+
+def test_one_id_with_different_texts(spark):
+    rows = [(0, "alpha beta beta"), (0, "gamma"), (3, "alpha gamma gamma delta")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert not any(zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows)
+    want = sorted((len(t.split()) + 1, len(t.split()) + 1) for _, t in rows)
+    got = score_documents(df, frequent=1).collect()
+    assert sorted((r["n_tokens"], r["n_known"]) for r in got) == want
 
 
 @pytest.mark.parametrize("rows", [[], [(None, "x")], [(2, None)] * 2, [(9, "only held out"), (13, "here")]])
