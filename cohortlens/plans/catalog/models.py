@@ -170,7 +170,7 @@ def classifier_compare(spark, sf):
     d = model_frame(spark, sf).withColumn("_order", sp.hash_order("c_custkey"))
     d = sp.stratified_split(d.drop("split"), RISK, ["_order", "c_custkey"], 0.2).drop("_order")
     train, test = _filled(d.where("split = 'train'"), d.where("split = 'train'"), d.where("split = 'test'"))
-    train = materialize(ml.smote(train, FEATURES, RISK, "c_custkey"))
+    train = materialize(ml.smote(train, FEATURES, RISK, "c_custkey").hint("rebalance"))  # few rows: few partitions
     ests = {
         "logistic": LogisticRegression(maxIter=100),
         "random_forest": RandomForestClassifier(numTrees=CLASSIFIER_TREES, maxDepth=RF_DEPTH, seed=42),
