@@ -139,7 +139,7 @@ def cv_scores(spark, sf):
     """5-fold CV R² (mean ± std) of the GBT, the test R² and the generalisation label."""
     train, test = _split(spark, sf)
     est = gbt_regressor()
-    cv = ml.cross_validate(sp.kfold(train, "c_custkey", 5), FEATURES, TARGET, est, None, "fold")
+    cv = ml.fold_scores(sp.kfold(train, "c_custkey", 5), FEATURES, TARGET, est, "fold", range(5))
     model = ml.assemble_model(FEATURES, est.setLabelCol(TARGET).setFeaturesCol("features")).fit(train)
     tr = stats.regression_metrics(model.transform(train), TARGET, "prediction").select(F.col("r2").alias("train_r2"))
     te = stats.regression_metrics(model.transform(test), TARGET, "prediction").select(F.col("r2").alias("test_r2"))

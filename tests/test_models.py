@@ -66,6 +66,16 @@ def test_smote_balances_classes(spark, frame):
     assert len(set(sizes.values())) == 1
 
 
+def test_folds_side_by_side_equal_cross_validator(spark, frame):
+    from cohortlens.operators import split
+
+    d = split.kfold(frame, "c_custkey", 3)
+    est = lambda: GBTRegressor(maxIter=3, maxDepth=2, seed=1)
+    got = models.fold_scores(d, mq.FEATURES, mq.TARGET, est(), "fold", range(3)).first()
+    want = models.cross_validate(d, mq.FEATURES, mq.TARGET, est(), None, "fold", k=3).first()
+    assert (got.mean_r2, got.std_r2) == pytest.approx((want.mean_r2, want.std_r2), abs=1e-9)
+
+
 def test_smote_refuses_a_single_row(spark):
     d = spark.createDataFrame([(1, 0.0, 1), (2, 1.0, 0), (3, 2.0, 0)], "id bigint, a double, y int")
     with pytest.raises(ValueError):
