@@ -51,8 +51,8 @@ def gbt_regressor(**more):
     return GBTRegressor(maxIter=GBT_ITER, maxDepth=GBT_DEPTH, stepSize=GBT_STEP, subsamplingRate=GBT_SUBSAMPLE, seed=42, **more)
 
 
-def gbt_classifier(**more):
-    return GBTClassifier(maxIter=CLASSIFIER_ROUNDS, maxDepth=GBT_DEPTH, stepSize=GBT_STEP, seed=42, **more)
+def gbt_classifier(rounds=GBT_ITER, **more):
+    return GBTClassifier(maxIter=rounds, maxDepth=GBT_DEPTH, stepSize=GBT_STEP, seed=42, **more)
 
 
 def score_frame(spark, sf):
@@ -174,7 +174,7 @@ def classifier_compare(spark, sf):
     ests = {
         "logistic": LogisticRegression(maxIter=100),
         "random_forest": RandomForestClassifier(numTrees=CLASSIFIER_TREES, maxDepth=RF_DEPTH, seed=42),
-        "gradient_boosting": gbt_classifier(),
+        "gradient_boosting": gbt_classifier(CLASSIFIER_ROUNDS),
     }
     table, _ = ml.classifier_compare(train, test, FEATURES, RISK, ests)
     return finish(table)
