@@ -1,11 +1,12 @@
 """Toxicity: pairwise interactions, held-out accuracy, edge rows."""
 
+import random
 import zlib
 
 import numpy as np
 import pytest
 
-from cohortlens.llm.toxicity import FactorizationMachine, fit, log_likelihood_ratio, score_documents, terms
+from cohortlens.llm.toxicity import FactorizationMachine, fit, interacting, log_likelihood_ratio, score_documents, terms, train
 
 
 def test_margin_is_the_sum_over_pairs():
@@ -30,6 +31,49 @@ def test_learns_an_interaction_that_no_linear_weights_can():
     assert ((m.margin(np.concatenate(rows), start) > 0) == np.array(labels)).mean() > 0.95
 
 
+@pytest.mark.parametrize("other", [("", ""), ("meadow", "window")])
+def test_interaction_of_ordinary_words_is_learnt(spark, other):
+    """Each word is as common in either class; only their meeting tells (half the rows hold each)."""
+    rnd = random.Random(5)
+    filler = [f"filler{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    docs, truth = [], {}
+    for i in range(4000):
+        a, b = rnd.random() < 0.5, rnd.random() < 0.5
+        words = [rnd.choice(filler) for _ in range(rnd.randrange(5, 40))] + ["river" if a else other[0], "stone" if b else other[1]]
+        rnd.shuffle(words)
+        docs.append((i, " ".join(words)))
+        truth[i] = int(a != b)
+    labels = spark.createDataFrame(list(truth.items()), "doc_id bigint, toxic int")
+    got = score_documents(spark.createDataFrame(docs, "doc_id bigint, text string"), labels).where("held_out").collect()
+    assert len(got) > 700 and np.mean([r["predicted"] == truth[r["doc_id"]] for r in got]) >= 0.9
+
+
+@pytest.mark.parametrize("block", [2, 5, 64])
+def test_pairs_that_tell_more_than_their_terms(block):
+    rng = np.random.default_rng(3)
+    held = rng.random((3000, 12)) < 0.4
+    held[:, 7] = held[:, 6]  # a term's stem
+    y = np.where(rng.random(3000) < 0.05, 1 - (held[:, 2] ^ held[:, 9]), held[:, 2] ^ held[:, 9])
+    among = np.arange(12) * 10
+    rows = [np.concatenate((among[h], [5, 33])) for h in held]
+    assert np.flatnonzero(interacting(rows, y.astype(float), among, block)).tolist() == [2, 9]
+    additive = (held[:, 2].astype(int) + held[:, 9] + rng.normal(0, 0.7, 3000)) > 0.9
+    assert not interacting(rows, additive.astype(float), among, block).any()
+    assert not interacting(rows, np.zeros(3000), among, block).any() and not len(interacting([], np.zeros(0), among[:0], block))
+
+
+def test_the_sample_is_drawn_by_label(spark):
+    """A rare label isn't thinned out by the bound, and the bias keeps the labels' shares."""
+    rows = [(i, "rude word" if i % 50 == 0 else f"fine day{i}") for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 50 == 0)) for i, _ in rows], "doc_id bigint, label int")
+    few, full = train(docs, labels, sample_rows=2000), train(docs, labels)
+    hit = [m.margin(*terms(["rude word", "fine day", ""])) for m in (few, full)]
+    assert all(x[0] > 0 > x[1] and x[2] < 0 for x in hit)
+    again = train(docs.repartition(5), labels, sample_rows=2000)
+    assert again.bias == few.bias and (again.w == few.w).all()
+
+
 def test_terms_are_distinct_and_per_text():
     t, s = terms(["Stupid stupid STUPIDLY", "", None, "été 12"])
     assert list(np.diff(s)) == [len(set(t[s[0] : s[1]].tolist())), 0, 0, len(set(t[s[3] : s[4]].tolist()))]
