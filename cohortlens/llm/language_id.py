@@ -33,6 +33,8 @@ OVERLAP, MOST_EVIDENCE = 3.0, 200.0
 HOST_WEIGHT, ADDED = 10.0, 1.0
 #: Hosts or suffixes broadcast at most.
 BROADCAST_ROWS = 1_000_000
+#: Different labels up to which a text model is fitted; more are refused.
+MOST_LANGUAGES = 200
 UNKNOWN = "und"
 
 _LETTER = np.zeros(256, bool)
@@ -81,11 +83,14 @@ class TextModel:
 def sampled(docs: DataFrame, text: str, label: str, doc_id: str, sample_docs: int) -> DataFrame:
     """``label, text`` of all documents of the labels that have up to
     ``sample_docs``, and of about so many of each other label: those whose hash
-    (of the id, or of the text where there is no id) is under the label's share."""
+    (of the id, or of the text where there is no id) is under the label's share.
+    A column of more than ``MOST_LANGUAGES`` different labels is refused."""
     drawn = F.xxhash64(doc_id if doc_id in docs.columns else text)
     has = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
     labelled = has.select(F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text"), drawn.alias("drawn"))
-    shares = labelled.groupBy("label").agg((F.lit(float(sample_docs)) / F.count(F.lit(1))).alias("share"))
+    shares = stored(labelled.groupBy("label").agg((F.lit(float(sample_docs)) / F.count(F.lit(1))).alias("share")))
+    if shares.count() > MOST_LANGUAGES:
+        raise ValueError(f"{label} has {shares.count()} different labels, more than {MOST_LANGUAGES}: not a language column")
     at = F.shiftrightunsigned("drawn", 11) / float(1 << 53)
     return labelled.join(F.broadcast(shares), "label").where(at < F.col("share")).select("label", "text")
 
@@ -112,12 +117,14 @@ def fit_text_model(
             yield pa.RecordBatch.from_pydict({"label": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at), "n": pa.array(c[at])})
 
     counts = sampled(docs, text, label, doc_id, sample_docs).mapInArrow(count, "label string, bucket bigint, n bigint")
-    rows = counts.groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()  # at most languages x buckets
-    languages = sorted({r["label"] for r in rows})
+    rows = counts.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most MOST_LANGUAGES x buckets
+    labels = rows.column("label").combine_chunks().dictionary_encode()
+    found = labels.dictionary.to_pylist()
+    languages = sorted(found)
     table = np.full((len(languages) + 1, buckets), ALPHA)
-    place = {lang: i for i, lang in enumerate(languages)}
-    for r in rows:
-        table[place[r["label"]], r["bucket"]] += r["n"]
+    place = np.array([languages.index(x) for x in found], np.int64)
+    bucket, n = (rows.column(c).to_numpy() for c in ("bucket", "n"))
+    table[place[labels.indices.to_numpy()], bucket] += n  # a row a label and bucket
     table[-1] = 1.0
     return TextModel([*languages, UNKNOWN], np.log(table / table.sum(1, keepdims=True)).T.copy())
 

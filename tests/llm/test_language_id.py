@@ -1,9 +1,14 @@
-"""Language identification: held-out accuracy, and each kind of evidence."""
+"""Language identification: held-out accuracy, each kind of evidence, fusion against brute force."""
 
+import math
+import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import cohortlens.llm.language_id as language_id
 from cohortlens.llm.language_id import document_rows, fit_text_model, identify, page_rows, sampled
 
 ROWS = "id bigint, text string, declared string, suffix string, host string, domain string"
@@ -88,3 +93,76 @@ def test_a_rare_language_is_in_the_model(spark):
     assert (got["language"], got["declared"], got["accepted"]) == ("fr", "fr", True)
     again = fit_text_model(docs.repartition(7), sample_docs=50)
     assert (model.log_p == again.log_p).all() and 20 <= sampled(docs, "text", "lang", "doc_id", 50).where("label = 'en'").count() <= 90
+
+
+def _brute_likelihoods(text, model):
+    """Log-likelihoods of a text, trigram by trigram, and their number."""
+    letters = re.sub(rb"[^a-z\x80-\xff]+", b" ", b" " + (text or "").lower().encode() + b" ")
+    bits = 64 - (len(model.log_p) - 1).bit_length()
+    grams = [int.from_bytes(letters[i : i + 3], "big") * 0x9E3779B97F4A7C15 % 2**64 >> bits for i in range(len(letters) - 2)]
+    ll = [sum(model.log_p[g, k] for g in grams) for k in range(len(model.languages))]
+    weight = min(len(grams) / 3.0, 200.0) / max(len(grams), 1)
+    return [x * weight for x in ll], len(grams)
+
+
+def _brute(rows, model):
+    """language and posterior of each row: every sum over the other rows anew."""
+    n, known = len(model.languages), set(model.languages[:-1])
+    said = [(r[2] or "").strip(" ").replace("_", "-").split("-")[0].lower() for r in rows]
+    keys = [dict(declared=s if s in known else None, suffix=r[3], host=r[4], domain=r[5]) for s, r in zip(said, rows)]
+    ll, grams = zip(*[_brute_likelihoods(r[1], model) for r in rows])
+    p = [[math.exp(x - max(v)) / sum(math.exp(y - max(v)) for y in v) if g else 0.0 for x in v] for v, g in zip(ll, grams)]
+    total = [sum(v[k] for v in p) + 1 for k in range(n)]
+    overall = [t / sum(total) for t in total]
+
+    def others(i, key):
+        """Posteriors of the other rows of the same value; None without a row that has text."""
+        same = [j for j in range(len(rows)) if keys[j][key] == keys[i][key] and grams[j]] if keys[i][key] is not None else []
+        return [sum(p[j][k] for j in same if j != i) for k in range(n)] if same else None
+
+    def smoothed(counts, wider):
+        mixed = [c + 10 * w for c, w in zip(counts, wider)] if counts else wider
+        return [m / sum(mixed) for m in mixed]
+
+    out = []
+    for i in range(len(rows)):
+        prior = smoothed(others(i, "host"), smoothed(others(i, "domain"), overall))
+        score = [x + math.log(q) for x, q in zip(ll[i], prior)]
+        for key in ("declared", "suffix"):
+            counts = others(i, key)
+            if counts:
+                score = [s + math.log((c + 1) / (t + n)) for s, c, t in zip(score, counts, total)]
+        best = max(range(n), key=lambda k: (score[k], -k))
+        out.append((model.languages[best], 1 / sum(math.exp(s - score[best]) for s in score)) if grams[i] else ("und", 1.0))
+    return out
+
+
+def test_fusion_against_brute_force(spark, small_model):
+    rnd = random.Random(8)
+    words = EN.split() + FR.split() + ["zoo", "été", "12", "--"]
+    rows = []
+    for i in range(150):
+        text = rnd.choice([None, "", "12 -- !", *[" ".join(rnd.choices(words, k=k)) for k in (1, 2, 3, 5, 60)]])
+        host = rnd.choice([None, "a.one.uk", "b.one.uk", "c.two.fr"])
+        domain = host and host[2:]
+        rows.append((i, text, rnd.choice([None, "en", "fr-FR", " EN_us", "tlh", ""]), domain and domain[4:], host, domain))
+    rows += [(200 + i, EN if i % 2 else FR, "fr", None, "hot.host", "host") for i in range(60)]  # a hot, mixed host
+    got, want = _run(spark, small_model, rows), _brute(rows, small_model)
+    for r, (language, posterior) in zip(rows, want):
+        assert got[r[0]]["language"] == language and np.isclose(got[r[0]]["posterior"], posterior, rtol=1e-9), r
+        assert got[r[0]]["accepted"] == (language != "und" and posterior >= 0.5)
+    assert {w[0] for w in want} == {"en", "fr", "und"} and any(w[1] < 0.7 for w in want)
+
+
+def test_clashing_columns_and_too_many_labels(spark, small_model, monkeypatch):
+    docs = spark.createDataFrame(
+        [(i, EN if i % 2 else FR, "en" if i % 2 else "fr", "s", 0.5, "x", i, 1) for i in range(20)],
+        "doc_id bigint, text string, lang string, source string, share double, label string, drawn int, id int",
+    )
+    model = fit_text_model(docs)
+    assert model.languages == ["en", "fr", "und"]
+    got = {r["id"]: r["language"] for r in identify(document_rows(docs), model).collect()}
+    assert got == {i: "en" if i % 2 else "fr" for i in range(20)}
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="2 different labels"):
+        fit_text_model(docs)
