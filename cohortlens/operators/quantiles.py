@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from cohortlens.operators.sizing import broadcast_if_small, one_row
 from cohortlens.session import materialize
 
+#: Groups whose brackets (two doubles a rank) are broadcast to the rows.
+SMALL_GROUPS = 50_000
 #: Lines of the sketched grid, its accuracy (error 1/accuracy, an eighth of a cell), distinct values a group keeps at most, lines of finer grids.
 GRID, ACCURACY, KEPT_VALUES, FINER = 512, 4096, 100_000, 64
 
@@ -64,11 +66,15 @@ def _brackets(sketch: DataFrame, groups: list[str], ranks: list[tuple[Column, Co
     return sorted_.select(*groups, *columns)
 
 
-def _counts(d: DataFrame, groups: list[str], brackets: DataFrame, parts: int) -> DataFrame:
+def _counts(d: DataFrame, groups: list[str], brackets: DataFrame, parts: int, few: bool) -> DataFrame:
     """``groups..., _slot, _v, _c``: rows by the number of brackets that begin at
     or below the value, and by the value itself inside the last of these (null:
-    beyond it).  In order of (_slot, _v, nulls last) the values ascend."""
-    j = d.join(broadcast_if_small(brackets), groups) if groups else d.crossJoin(one_row(brackets))
+    beyond it).  In order of (_slot, _v, nulls last) the values ascend.
+
+    With ``few`` groups (counted, as the optimizer's estimate of an aggregate is
+    that of its input) the brackets go to the rows: a shuffle by a handful of
+    groups would put all rows into as many tasks."""
+    j = d.join(F.broadcast(brackets) if few else brackets, groups) if groups else d.crossJoin(one_row(brackets))
     slot = sum(((F.col("_v") >= F.col(f"_lo{i}")).cast("int") for i in range(parts)), F.lit(0))
     high = F.get(F.array(*[F.col(f"_hi{i}") for i in range(parts)]), F.col("_slot") - 1)
     inside = F.when((F.col("_slot") > 0) & (high.isNull() | (F.col("_v") <= high)), F.col("_v"))
@@ -115,8 +121,9 @@ def _select(
     two ranks of each pair that ``rank_of`` makes of the column ``_n``."""
     d, sketch = _sketch(df, value, groups, extra)
     pairs = len(rank_of())
+    few = sketch.count() <= SMALL_GROUPS
     while True:
-        counts = _counts(d, groups, _brackets(sketch, groups, rank_of(), margin), pairs)
+        counts = _counts(d, groups, _brackets(sketch, groups, rank_of(), margin), pairs, few)
         while (counts.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0) > KEPT_VALUES:
             before = counts.count()
             counts = _narrowed(counts, groups, rank_of)

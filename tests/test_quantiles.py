@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.operators import quantiles as q
+from cohortlens.operators import sizing
 from cohortlens.sources.prepare import ranged, row_positions
 
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
@@ -100,3 +101,28 @@ def test_ranges_of_a_heavy_tie_are_even(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_few_groups_never_deal_the_rows_by_group(spark, monkeypatch):
+    """The optimizer takes an aggregate to be as large as its input: the brackets of a
+    large input were joined by a shuffle that put all rows of a group into one task."""
+    monkeypatch.setattr(sizing, "estimated_bytes", lambda df: 1 << 40)
+    plans, stored = [], q.materialize
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(q, "materialize", seen)
+    rows = spark.range(3000).select(F.pmod("id", F.lit(3)).alias("g"), F.col("id").cast("double").alias("v"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = q.quantiles(rows, "v", [0.5], ["g"], ["m"])
+        assert {r["g"]: r["m"] for r in got.collect()} == {0: 1498.5, 1: 1499.5, 2: 1500.5}
+        assert "BroadcastHashJoin" in plans[1] and "SortMergeJoin" not in plans[1]  # the counts
+        monkeypatch.setattr(q, "SMALL_GROUPS", 2)
+        more = q.quantiles(rows, "v", [0.5], ["g"], ["m"])  # many groups: a shuffle, the same rows
+        assert sorted(map(tuple, more.collect())) == sorted(map(tuple, got.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
