@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.sources.tables import load
-from cohortlens.operators.sizing import broadcast_if_small
-from cohortlens.session import wide_plan_guard
+from cohortlens.operators.sizing import broadcast_if_small, estimated_bytes
+from cohortlens.session import size_shuffles, wide_plan_guard
 
 # FIXED VALUES of the fixture tables (checked against the data): return flags,
 # line statuses, months and event types.
@@ -66,10 +66,14 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
     """Per (customer, month, flag_status) metric means; partial aggregation runs
     map-side, so a customer holding a large share of lines is combined before
     the shuffle (at most 72 cells per customer leave each task)."""
-    li = load(spark, sf, "lineitem").select(
+    li = load(spark, sf, "lineitem")
+    parts = size_shuffles(spark, estimated_bytes(li))
+    li = li.where("l_orderkey IS NOT NULL").select(
         "l_orderkey", "l_quantity", "l_discount", "l_tax", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"
     )
-    o = load(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    o = load(spark, sf, "orders").where("o_orderkey IS NOT NULL").select("o_orderkey", "o_custkey")
+    if parts:
+        li, o = li.repartition(parts, "l_orderkey"), o.repartition(parts, "o_orderkey")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     # the textbook flag is aggregated as an int (max of 0/1) so the aggregate
     # stays a hash aggregate; a string max would force a sort-based one
@@ -102,13 +106,19 @@ CELLS_SQL = """cells AS (
 def customer_wide(spark: SparkSession, sf: str, metrics=CELL_METRICS, cells_df: DataFrame | None = None) -> DataFrame:
     """One row per customer with ``Grade_<m>_<subject>_<Metric>`` columns (null
     where the customer has no line in that cell; all-null without orders).
-    ``cells_df`` lets several outputs share one stored cell table."""
+    ``cells_df`` lets several outputs share one stored cell table.
+
+    The cells (at most 72 a customer) are dealt by customer before the pivot: its
+    map-side half, on cells dealt by customer, month and subject, would hold a wide
+    row of nearly every customer in every task."""
     wide_plan_guard(spark)
     cl = (cells_df if cells_df is not None else cells(spark, sf)).withColumn("cell", F.concat(F.lit("Grade_"), F.col("grade"), F.lit("_"), F.col("subject")))
     cell_vals = [f"Grade_{m}_{s}" for m in MONTHS for s in FLAG_STATUS]
     # pivot numbers only (textbook as a 0/1 int) so the pivot aggregate is a hash aggregate
     aggs = [F.first(F.col(k) if k != "Textbook" else (F.col(k) == "Yes").cast("int")).alias(k) for k in metrics]
-    wide = cl.groupBy("cid").pivot("cell", cell_vals).agg(*aggs)
+    parts = size_shuffles(spark, estimated_bytes(load(spark, sf, "lineitem")))
+    dealt = cl.repartition(parts, "cid") if parts else cl.repartition("cid")
+    wide = dealt.groupBy("cid").pivot("cell", cell_vals).agg(*aggs)
     if len(metrics) == 1:  # Spark omits the alias suffix for a single aggregate
         wide = wide.select("cid", *[F.col(v).alias(f"{v}_{metrics[0]}") for v in cell_vals])
     if "Textbook" in metrics:
