@@ -9,7 +9,7 @@ is one distributed pass per model.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -50,6 +50,13 @@ def assemble_model(features: Sequence[str], estimator=None, impute: bool = True,
     return Pipeline(stages=stages)
 
 
+def side_by_side(spark: SparkSession, work: Sequence[Callable[[], object]]) -> list:
+    """Results of independent fits, whose jobs run at the same time: between the many
+    small passes of one fit most of a cluster idles."""
+    with ThreadPool(max(len(work), 1)) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda job: job()), work, chunksize=1)
+
+
 def train_compare(
     train: DataFrame,
     test: DataFrame,
@@ -60,16 +67,21 @@ def train_compare(
     """Fit every estimator in the same pipeline, score the test
     split, return ``(model, n, r2, mae, rmse, mean_pct_error)`` rows and the
     fitted models; the best model is the first by r2 descending."""
-    fitted: dict[str, PipelineModel] = {}
+    fitted = _fitted(train, features, label, estimators)
     out = None
-    for name, est in estimators.items():
-        model = assemble_model(features, est.setLabelCol(label).setFeaturesCol("features")).fit(train)
-        fitted[name] = model
+    for name, model in fitted.items():
         m = stats.regression_metrics(model.transform(test), label, "prediction").withColumn("model", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out.select("model", "n", "r2", "mae", "rmse", "mean_pct_error"), fitted
 
 
+def _fitted(train: DataFrame, features: Sequence[str], label: str, estimators: Mapping[str, object]) -> dict[str, PipelineModel]:
+    """Every estimator fitted in the same pipeline, side by side."""
+    pipes = [assemble_model(features, est.setLabelCol(label).setFeaturesCol("features")) for est in estimators.values()]
+    models = side_by_side(train.sparkSession, [lambda pipe=pipe: pipe.fit(train) for pipe in pipes])
+    return dict(zip(estimators, models, strict=True))
+
+
 def classifier_compare(
     train: DataFrame,
     test: DataFrame,
@@ -80,11 +92,9 @@ def classifier_compare(
 ) -> tuple[DataFrame, dict[str, PipelineModel]]:
     """Fit classifiers, score the positive-class probability on the test
     split; ``(model, auc, accuracy, precision, recall, f1)`` with exact AUC."""
-    fitted = {}
+    fitted = _fitted(train, features, label, estimators)
     out = None
-    for name, est in estimators.items():
-        model = assemble_model(features, est.setLabelCol(label).setFeaturesCol("features")).fit(train)
-        fitted[name] = model
+    for name, model in fitted.items():
         scored = model.transform(test).withColumn("p1", vector_to_array("probability")[1])
         scored = scored.withColumn("pred", (F.col("p1") >= threshold).cast("int"))
         auc = stats.roc_auc(scored, label, "p1").select("auc")
@@ -144,8 +154,7 @@ def fold_scores(df: DataFrame, features: Sequence[str], label: str, estimator, f
         model = pipe.copy().fit(df.where(F.col(fold_col) != fold))
         return evaluator.evaluate(model.transform(df.where(F.col(fold_col) == fold)))
 
-    with ThreadPool(len(folds)) as pool:
-        got = pool.map(inheritable_thread_target(df.sparkSession)(score), folds)
+    got = side_by_side(df.sparkSession, [lambda fold=fold: score(fold) for fold in folds])
     row = ("default", float(np.mean(got)), float(np.std(got)))
     return df.sparkSession.createDataFrame([row], "params string, mean_r2 double, std_r2 double")
 

@@ -32,15 +32,25 @@ _SLACK = 1e-9  # relative allowance for rounding: a block on the edge is visited
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(((x[:, None, :] - y[None, :, :]) ** 2).sum(2), 0))
+    total = np.zeros((len(x), len(y)))
+    for a, b in zip(x.T, y.T, strict=True):  # a column at a time: no third dimension in memory
+        gap = a[:, None] - b
+        gap *= gap
+        total += gap
+    return np.sqrt(total, out=total)
 
 
 def _nearest(ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the k least of each row of ``d``, ties by id."""
-    order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-    rows = np.repeat(np.arange(len(d)), order.shape[1])
-    cols = order.ravel()
-    there = np.isfinite(d[rows, cols])
+    """Rows and columns of the k least of each row of ``d``, ties by id.  Only what is
+    no farther than a row's k-th least is sorted."""
+    if k < d.shape[1]:
+        rows, cols = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])
+    else:
+        rows, cols = (i.ravel() for i in np.indices(d.shape))
+    order = np.lexsort((ids[cols], d[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    there = (place < k) & np.isfinite(d[rows, cols])
     return rows[there], cols[there]
 
 

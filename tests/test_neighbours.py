@@ -70,3 +70,19 @@ def test_standardised(spark):
     rows = standardised_neighbours(df, ["a", "b", "c"], "id", 5).orderBy("_a", "_j").collect()
     want = _brute((x - x.mean(0)) / x.std(0, ddof=1), 5)
     assert {i: [r["_b"] for r in rows if r["_a"] == i] for i in range(300)} == want
+
+
+def test_nearest_of_a_block_breaks_ties_by_id():
+    from cohortlens.operators import neighbours as nb
+
+    rng = np.random.default_rng(5)
+    for trial in range(60):
+        n, m, k = rng.integers(1, 12), rng.integers(1, 12), int(rng.integers(1, 6))
+        d = rng.integers(0, 4, size=(n, m)).astype(float)  # many equal distances
+        d[rng.random((n, m)) < 0.2] = np.inf
+        ids = rng.permutation(m)
+        rows, cols = nb._nearest(ids, d, k)
+        wanted = [(i, j) for i in range(n) for j in sorted(range(m), key=lambda j: (d[i, j], ids[j]))[:k] if np.isfinite(d[i, j])]
+        assert list(zip(rows.tolist(), cols.tolist())) == wanted
+        x, y = rng.normal(size=(n, 9)), rng.normal(size=(m, 9))
+        np.testing.assert_allclose(nb._distances(x, y), np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(2)), rtol=1e-12)

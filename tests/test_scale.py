@@ -3,6 +3,7 @@
 import pytest
 
 from cohortlens import session
+from cohortlens.operators import models as ml
 from cohortlens.plans import fixtures as fx
 
 PARTITIONS = "spark.sql.shuffle.partitions"
@@ -52,3 +53,10 @@ def test_null_keys_and_repeated_orders_keep_their_meaning(spark, tmp_path, small
         monkeypatch.setattr(session, "BYTES_A_PARTITION", size)
         got = {r.c_custkey: (r.Grade_5_A_F_Test_Score, r.Grade_5_N_O_Test_Score) for r in fx.customer_wide(spark, str(tmp_path)).collect()}
         assert got == {7: (30.0, 80.0), 8: (None, 80.0), 9: (None, None), None: (None, None)}
+
+
+def test_fits_run_side_by_side(spark):
+    from threading import Barrier
+
+    meet = Barrier(3)  # passes only if all three are under way at once
+    assert ml.side_by_side(spark, [lambda i=i: (meet.wait(60), i)[1] for i in range(3)]) == [0, 1, 2]
