@@ -138,9 +138,14 @@ def ridge_cv_pair(spark, sf):
 def cv_scores(spark, sf):
     """5-fold CV R² (mean ± std) of the GBT, the test R² and the generalisation label."""
     train, test = _split(spark, sf)
-    est = gbt_regressor()
-    cv = ml.fold_scores(sp.kfold(train, "c_custkey", 5), FEATURES, TARGET, est, "fold", range(5))
-    model = ml.assemble_model(FEATURES, est.setLabelCol(TARGET).setFeaturesCol("features")).fit(train)
+    whole = ml.assemble_model(FEATURES, gbt_regressor(labelCol=TARGET, featuresCol="features"))
+    cv, model = ml.side_by_side(
+        spark,
+        [
+            lambda: ml.fold_scores(sp.kfold(train, "c_custkey", 5), FEATURES, TARGET, gbt_regressor(), "fold", range(5)),
+            lambda: whole.fit(train),
+        ],
+    )
     tr = stats.regression_metrics(model.transform(train), TARGET, "prediction").select(F.col("r2").alias("train_r2"))
     te = stats.regression_metrics(model.transform(test), TARGET, "prediction").select(F.col("r2").alias("test_r2"))
     j = cv.crossJoin(tr).crossJoin(te).withColumn("gap", F.col("test_r2") - F.col("mean_r2"))
