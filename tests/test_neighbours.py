@@ -86,3 +86,33 @@ def test_nearest_of_a_block_breaks_ties_by_id():
         assert list(zip(rows.tolist(), cols.tolist())) == wanted
         x, y = rng.normal(size=(n, 9)), rng.normal(size=(m, 9))
         np.testing.assert_allclose(nb._distances(x, y), np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(2)), rtol=1e-12)
+
+
+def test_visits_are_few_and_not_stored(spark, monkeypatch):
+    """Nine columns, where a row's ball touches a large part of all blocks: it is sent to
+    shelves of them, and no table of more rows than there are points is written."""
+    stored, real = [], neighbours.materialize
+    monkeypatch.setattr(neighbours, "materialize", lambda df: (lambda out: (stored.append(out.count()), out)[1])(real(df)))
+    monkeypatch.setattr(neighbours, "VISITORS", 64)
+    x = np.random.default_rng(8).normal(size=(4000, 9))
+    got, work = _found(spark, x, 5, 16)
+    assert got == _brute(x, 5)
+    assert work["rows"] == 4000 and work["blocks"] >= 250
+    assert 0 < work["visits"] < 0.25 * 4000 * work["blocks"]
+    assert max(stored) <= 4000
+
+
+def test_equal_rows_and_far_from_the_origin(spark):
+    x = np.random.default_rng(2).integers(0, 2, (900, 2)).astype(float)  # four places
+    assert _found(spark, x, 4, 16)[0] == _brute(x, 4)
+    y = np.random.default_rng(3).random((900, 3)) * 1e-3 + 1e6
+    assert _found(spark, y, 4, 16)[0] == _brute(y, 4)
+
+
+def test_cells_of_the_tree():
+    rng = np.random.default_rng(4)
+    for x in (rng.normal(size=(600, 3)), rng.integers(0, 2, (600, 2)).astype(float), np.zeros((9, 2)), rng.random((1, 2))):
+        tree = neighbours._tree(x, 40)
+        cells = tree.cells(x)
+        assert len(tree.along) <= 40 and set(cells) <= set(range(len(tree.along)))
+        assert len(set(cells)) == min(40, len(np.unique(x, axis=0)))
