@@ -57,6 +57,19 @@ def side_by_side(spark: SparkSession, work: Sequence[Callable[[], object]]) -> l
         return pool.map(inheritable_thread_target(spark)(lambda job: job()), work, chunksize=1)
 
 
+#: Bytes of node ids, 4 a row and tree, up to which a forest keeps them; Spark holds up to three versions.
+NODE_IDS = 2 << 30
+
+
+def with_node_ids(forest, rows: int):
+    """A forest that keeps the node of every row in every tree, where these are few enough
+    for the executors' memory: without, each level sends each row down each tree again.  The
+    fitted model is the same.  Nothing is written: a dozen levels are a short lineage."""
+    if rows * forest.getNumTrees() * 4 > NODE_IDS:
+        return forest
+    return forest.setCacheNodeIds(True).setCheckpointInterval(-1)
+
+
 def train_compare(
     train: DataFrame,
     test: DataFrame,

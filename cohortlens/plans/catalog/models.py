@@ -176,9 +176,10 @@ def classifier_compare(spark, sf):
     d = sp.stratified_split(d.drop("split"), RISK, ["_order", "c_custkey"], 0.2).drop("_order")
     train, test = _filled(d.where("split = 'train'"), d.where("split = 'train'"), d.where("split = 'test'"))
     train = materialize(ml.smote(train, FEATURES, RISK, "c_custkey").hint("rebalance"))  # few rows: few partitions
+    forest = RandomForestClassifier(numTrees=CLASSIFIER_TREES, maxDepth=RF_DEPTH, seed=42)
     ests = {
         "logistic": LogisticRegression(maxIter=100),
-        "random_forest": RandomForestClassifier(numTrees=CLASSIFIER_TREES, maxDepth=RF_DEPTH, seed=42),
+        "random_forest": ml.with_node_ids(forest, train.count()),
         "gradient_boosting": gbt_classifier(CLASSIFIER_ROUNDS),
     }
     table, _ = ml.classifier_compare(train, test, FEATURES, RISK, ests)

@@ -100,3 +100,24 @@ def test_customers_without_a_target_are_projected_and_clustered(spark, sf_small,
     assert mq.pca_projection(spark, sf_small).where("pc1 IS NOT NULL").count() == everyone
     assert mq.engagement_pca(spark, sf_small).where("Overall_Engagement_Score IS NOT NULL").count() == everyone
     assert mq.kmeans_profile(spark, sf_small).agg(F.sum("n")).first()[0] == everyone
+
+
+def test_forest_with_node_ids_is_the_same(spark, frame, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    forest = lambda: RandomForestClassifier(numTrees=6, maxDepth=8, seed=42, labelCol=mq.RISK, featuresCol="features")
+    train = frame.where("split = 'train'").repartition(2).cache()
+    kept = models.with_node_ids(forest(), train.count())
+    assert kept.getCacheNodeIds() and kept.getCheckpointInterval() == -1
+    trees = [models.assemble_model(mq.FEATURES, f).fit(train).stages[-1].toDebugString.split("\n", 1)[1] for f in (forest(), kept)]
+    assert trees[0] == trees[1]
+    monkeypatch.setattr(models, "NODE_IDS", 4 * 6 * train.count() - 1)
+    assert not models.with_node_ids(forest(), train.count()).getCacheNodeIds()
+
+
+def test_classifier_compare_keeps_node_ids(spark, sf_small, frame, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(mq, "model_frame", lambda spark, sf: frame)
+    monkeypatch.setattr(mq.ml, "classifier_compare", lambda train, test, features, label, ests: (seen.update(ests), (train, None))[1])
+    mq.classifier_compare(spark, sf_small)
+    assert seen["random_forest"].getCacheNodeIds() and seen["random_forest"].getNumTrees() == 500
